@@ -6,14 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.operators import references
+from threadloom.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return references.orphans(table(spark, d, "posts"), table(spark, d, "comments"), table(spark, d, "removed_posts")).drop("creation_date")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return references.orphan_report(references.orphans(table(spark, d, "posts"), table(spark, d, "comments"), table(spark, d, "removed_posts")))
+
+
+REF = r"nullif(regexp_extract({}, '^\s*0*([1-9][0-9]*)\s*$', 1), '')"
+P7 = f"""
+WITH p AS (SELECT try_cast({REF.format('id')} AS BIGINT) AS row_id, min(loaded_at) AS loaded_at, max(creation_date) AS creation_date,
+                  max({REF.format('accepted_answer_id')}) AS acc, max({REF.format('parent_id')}) AS par FROM posts GROUP BY 1),
+c AS (SELECT try_cast({REF.format('id')} AS BIGINT) AS row_id, min(loaded_at) AS loaded_at, max(creation_date) AS creation_date, max({REF.format('post_id')}) AS pid FROM comments GROUP BY 1),
+r AS (SELECT 'posts' AS source_table, row_id, 'accepted_answer_id' AS field_name, acc AS ref, loaded_at, creation_date FROM p
+      UNION ALL SELECT 'posts', row_id, 'parent_id', par, loaded_at, creation_date FROM p
+      UNION ALL SELECT 'comments', row_id, 'post_id', pid, loaded_at, creation_date FROM c),
+f AS (SELECT r.*, CASE WHEN p.row_id IS NOT NULL THEN CASE WHEN p.loaded_at > r.loaded_at THEN 'late' END WHEN d.post_id IS NOT NULL THEN 'removed' ELSE 'missing' END AS status
+      FROM r LEFT JOIN p ON try_cast(r.ref AS BIGINT) = p.row_id LEFT JOIN (SELECT DISTINCT post_id FROM removed_posts) d ON try_cast(r.ref AS BIGINT) = d.post_id
+      WHERE r.ref IS NOT NULL AND r.row_id IS NOT NULL)
+"""
+VALID = r"CASE WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\.[0-9]+)?') THEN try_cast(left({0}, 19) AS TIMESTAMP) END"
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    return p7_report(spark, d)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {"p7_found": p7_found, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_found": P7 + "SELECT source_table, row_id, field_name, status FROM f WHERE status IS NOT NULL",
+        "p7_report": P7 + f"SELECT source_table, field_name, strftime({VALID.format('creation_date')}, '%Y-%m') AS month, status, count(*) AS orphans FROM f WHERE status IS NOT NULL GROUP BY 1, 2, 3, 4",
+    }
