@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, packing, spans
+from threadloom.llm import bpe, packing, pairs, percentiles, spans
 from threadloom.session import table
 
 
+MEASURES = ("time_to_first_answer_hours", "median_answer_response_hours")
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each snapshot on its own, combined, then resolved."""
+    once = percentiles.questions_once(table(spark, d, "thread_characteristics"), MEASURES)
+    return percentiles.percentiles(percentiles.state(once, "site", MEASURES)).withColumnRenamed("grp", "site")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pairs.above_chance(pairs.associations(pairs.question_tags(table(spark, d, "posts")), least=5))
+    return found.selectExpr("item_a AS tag_a", "item_b AS tag_b")
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.scored(pairs.associations(pairs.question_tags(table(spark, d, "posts")))).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_table(table(spark, d, "documents"))
 
@@ -31,8 +49,29 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_percentiles, p3_found, p3_pairs, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
+
+
+P1 = """
+WITH u AS (SELECT DISTINCT ON (question_id) question_id, site, time_to_first_answer_hours AS a, median_answer_response_hours AS b FROM thread_characteristics WHERE question_id IS NOT NULL ORDER BY question_id, dump_snapshot_date DESC),
+v AS (SELECT site, 'time_to_first_answer_hours' AS measure, a AS value FROM u UNION ALL SELECT site, 'median_answer_response_hours', b FROM u),
+w AS (SELECT site, measure, value, row_number() OVER (PARTITION BY site, measure ORDER BY value) AS r, count(*) OVER (PARTITION BY site, measure) AS n FROM v WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value))
+SELECT site, measure, p.bp AS basis_points, value, n FROM w, (SELECT unnest([500, 1000, 2500, 5000, 7500, 9000, 9500, 9900]) AS bp) p WHERE r = greatest(1, (n * p.bp + 9999) // 10000)
+"""
+
+P3 = r"""
+WITH q AS (SELECT try_cast(nullif(regexp_extract(id, '^\s*0*([1-9][0-9]*)\s*$', 1), '') AS BIGINT) AS id, max(tags) AS tags FROM posts WHERE post_type_id = '1' GROUP BY 1),
+t AS (SELECT DISTINCT id, lower(trim(x)) AS tag FROM (SELECT id, unnest(regexp_extract_all(tags, '<([^<>]*)>', 1)) AS x FROM q WHERE id IS NOT NULL) WHERE trim(x) <> ''),
+s AS (SELECT tag, count(*) AS n FROM t GROUP BY 1),
+m AS (SELECT count(DISTINCT id) AS n FROM t),
+x AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM t a JOIN t b ON a.id = b.id AND a.tag < b.tag GROUP BY 1, 2),
+y AS (SELECT x.*, sa.n AS n_a, sb.n AS n_b, m.n AS n FROM x JOIN s sa ON sa.tag = tag_a JOIN s sb ON sb.tag = tag_b, m)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_percentiles": P1,
+        "p3_found": P3 + "SELECT tag_a, tag_b FROM y WHERE n_ab >= 5 AND n_ab * n >= 4 * n_a * n_b",
+        "p3_pairs": P3 + "SELECT *, round(n_ab * n / (n_a * n_b), 4) AS lift, round(log2(n_ab * n / (n_a * n_b)), 4) AS pmi, round(n_ab / n, 6) AS support FROM y",
+    }
