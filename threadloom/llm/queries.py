@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, packing, pairs, percentiles, spans
+from threadloom.llm import bpe, neardup, packing, pairs, percentiles, spans
 from threadloom.session import table
 
 
@@ -28,6 +28,15 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.scored(pairs.associations(pairs.question_tags(table(spark, d, "posts")))).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(neardup.questions(table(spark, d, "posts"))).selectExpr("id_a AS question_id_a", "id_b AS question_id_b")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    found = neardup.similar_pairs(neardup.questions(table(spark, d, "posts")))
+    return neardup.groups(found).withColumnRenamed("id", "question_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_table(table(spark, d, "documents"))
 
@@ -49,7 +58,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p3_found, p3_pairs, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_percentiles, p3_found, p3_pairs, p4_found, p4_groups, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
 
 
 P1 = """

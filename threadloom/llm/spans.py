@@ -37,6 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def salt(k: int) -> np.uint64:
+    """The k-th multiple of the seed as a 64-bit word."""
+    return np.uint64(k * int(SEED) & 0xFFFFFFFFFFFFFFFF)
+
+
 class Powers:
     """Powers of the base and of its inverse, as many as asked for."""
 
