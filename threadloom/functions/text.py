@@ -10,6 +10,8 @@ MARKUP = re.compile(r"<!--.*?-->|<[a-zA-Z/!?][^>]*>", re.DOTALL)
 #: Characters without width.
 ZERO_WIDTH = re.compile("[​‌‍‎‏⁠﻿­᠎]")
 WORD = re.compile(r"[^\W_]+")
+_ASCII = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
+_TYPOGRAPHIC = re.compile("[\u2010-\u2027\u2030-\u205e\u00a0\u00a1\u00ab\u00b4\u00b7\u00bb\u00bf]")
 
 
 def visible_text(source: str | None) -> str:
@@ -27,4 +29,9 @@ def visible_text(source: str | None) -> str:
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits, in lower case."""
-    return WORD.findall(text.lower())
+    text = text.lower()
+    if not text.isascii():
+        text = _TYPOGRAPHIC.sub(" ", text)
+        if not text.isascii():
+            return WORD.findall(text)
+    return text.encode().translate(_ASCII).decode().split()
