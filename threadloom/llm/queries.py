@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, neardup, packing, pairs, percentiles, spans
+from threadloom.llm import bpe, defects, neardup, packing, pairs, percentiles, spans
 from threadloom.session import table
 
 
@@ -19,6 +19,10 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.state(once, "site", MEASURES)).withColumnRenamed("grp", "site")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.broken_pairs(table(spark, d, "posts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = pairs.above_chance(pairs.associations(pairs.question_tags(table(spark, d, "posts")), least=5))
     return found.selectExpr("item_a AS tag_a", "item_b AS tag_b")
@@ -58,7 +62,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p3_found, p3_pairs, p4_found, p4_groups, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_percentiles, p2_found, p3_found, p3_pairs, p4_found, p4_groups, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
 
 
 P1 = """
