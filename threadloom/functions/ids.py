@@ -48,3 +48,25 @@ def exact_instant(c: Column | str) -> Column:
     """Struct (second, fraction digits) that orders exactly like the instant; null where the text is no timestamp."""
     second = valid_second(c)
     return F.when(second.isNotNull(), F.struct(second.alias("second"), fraction_digits(c).alias("fraction")))
+
+
+def instant_text(c: Column | str) -> Column:
+    """A valid timestamp as text that sorts exactly like the instant, all fraction digits counting; null for others."""
+    c = F.col(c) if isinstance(c, str) else c
+    fraction = fraction_digits(c)
+    return F.when(valid_second(c).isNotNull(), F.concat(F.substring(c, 1, 19), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise("")))
+
+
+#: Entities of blanks and of characters without width.
+BLANK_ENTITY = (
+    r"(?i)&(?:nbsp|ensp|emsp|thinsp|hairsp|numsp|puncsp|emsp13|emsp14|tab|newline|zwnj|zwj|lrm|rlm|shy|zerowidthspace|nobreak|mediumspace|nonbreakingspace);?"
+    r"|&#(?:0*(?:9|1[0-3]|32|133|160|173|5760|6158|819[2-9]|820[0-7]|8232|8233|8239|8287|8288|12288|65279)|x0*(?:[9a-d]|20|85|a0|ad|1680|180e|200[0-9a-f]|2028|2029|202f|205f|2060|3000|feff));?"
+)
+BLANK = r"\s\p{Z}\x{1c}-\x{1f}\x{85}\x{ad}\x{180e}\x{200b}-\x{200f}\x{2060}\x{feff}"
+
+
+def shows_something(c: Column | str) -> Column:
+    """Whether HTML has visible text; false for null. Agrees with functions.text.visible_text."""
+    c = F.col(c) if isinstance(c, str) else c
+    text = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>", " "), BLANK_ENTITY, " ")
+    return F.coalesce(text.rlike(f"[^{BLANK}]"), F.lit(False))
