@@ -1,7 +1,7 @@
 """Percentiles per group by exact bisection (problem 1).
 
 The state of a row set is the count of each distinct value per group and measure: states of disjoint row sets add up.
-Each pass cuts every open interval of a group and percentile into PARTS equal parts (eight halvings at once), counts
+Each pass cuts every open interval of a group and percentile into PARTS equal parts (six halvings at once), counts
 the rows in each, and keeps the part with the target rank, narrowed to the values that occur. A percentile is resolved
 when its interval holds one value. The result is the value of rank ceil(p * n): its error is zero. A state can be
 compressed to a stated relative error; then it holds a bounded number of buckets and still adds up.
@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 
 from threadloom.session import discard, materialize
 
-PARTS = 256
+PARTS = 64
 #: Basis points.
 PERCENTILES = (500, 1000, 2500, 5000, 7500, 9000, 9500, 9900)
 
 
-def state(df: DataFrame, group: str, measures: Sequence[str]) -> DataFrame:
-    """(grp, measure, value, n)."""
+def state(df: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """(grp, measure, value, n); grp is the struct of the group columns."""
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
     finite = "value is not null and not isnan(value) and abs(value) < double('Infinity')"
-    return df.select(F.col(group).alias("grp"), rows.alias("r")).select("grp", "r.measure", (F.col("r.value") + 0.0).alias("value")).where(finite).groupBy("grp", "measure", "value").agg(F.count("*").alias("n"))
+    return df.select(F.struct(*groups).alias("grp"), rows.alias("r")).select("grp", "r.measure", (F.col("r.value") + 0.0).alias("value")).where(finite).groupBy("grp", "measure", "value").agg(F.count("*").alias("n"))
 
 
 def merge(*states: DataFrame) -> DataFrame:
@@ -38,6 +38,12 @@ def merge(*states: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, states).groupBy("grp", "measure", "value").agg(F.sum("n").alias("n"))
 
 
+def roll_up(s: DataFrame, *away: str) -> DataFrame:
+    """The state with the named group columns combined into one group, whose values there are null."""
+    whole = reduce(lambda g, name: g.withField(name, F.lit(None).cast(s.schema["grp"].dataType[name].dataType)), away, F.col("grp"))
+    return merge(s.select(whole.alias("grp"), "measure", "value", "n"))
+
+
 def compress(s: DataFrame, relative_error: float) -> DataFrame:
     """Values moved to the middle of logarithmic buckets: off by at most the part `relative_error`, and still additive."""
     gamma = (1 + relative_error) / (1 - relative_error)
@@ -80,5 +86,5 @@ def _narrow(s: DataFrame, open_: DataFrame, parts: int) -> DataFrame:
 
 def questions_once(tc: DataFrame, measures: Sequence[str]) -> DataFrame:
     """One row per question id, its latest snapshot; repeated rows are equal."""
-    best = F.max(F.struct("dump_snapshot_date", "site", *measures)).alias("r")
+    best = F.max(F.struct("dump_snapshot_date", "site", F.substring("question_creation_datetime", 1, 7).alias("month"), *measures)).alias("r")
     return tc.where("question_id is not null").groupBy("question_id").agg(best).select("question_id", "r.*")

@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, defects, neardup, packing, pairs, percentiles, spans
-from threadloom.session import table
+from threadloom.llm import bpe, conversations, defects, neardup, packing, pairs, percentiles, spans
+from threadloom.session import materialize, table
 
 
 MEASURES = ("time_to_first_answer_hours", "median_answer_response_hours")
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """The state of each snapshot on its own, combined, then resolved."""
+    """Per site and month of the question, and per site (null month) from the combined states of its months."""
     once = percentiles.questions_once(table(spark, d, "thread_characteristics"), MEASURES)
-    return percentiles.percentiles(percentiles.state(once, "site", MEASURES)).withColumnRenamed("grp", "site")
+    months = materialize(percentiles.state(once, ["site", "month"], MEASURES), "months")
+    return percentiles.percentiles(months.unionByName(percentiles.roll_up(months, "month"))).select("grp.site", "grp.month", "measure", "basis_points", "value", "n")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +42,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(found).withColumnRenamed("id", "question_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.find_broken(spark, f"{d}/posts.parquet", f"{d}/comments.parquet")
+
+
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.turns(table(spark, d, "posts"), table(spark, d, "comments"), p6_found(spark, d)).drop("text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_table(table(spark, d, "documents"))
 
@@ -62,14 +71,15 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p2_found, p3_found, p3_pairs, p4_found, p4_groups, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_percentiles, p2_found, p3_found, p3_pairs, p4_found, p4_groups, p6_found, p6_turns, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
 
 
 P1 = """
-WITH u AS (SELECT DISTINCT ON (question_id) question_id, site, time_to_first_answer_hours AS a, median_answer_response_hours AS b FROM thread_characteristics WHERE question_id IS NOT NULL ORDER BY question_id, dump_snapshot_date DESC),
-v AS (SELECT site, 'time_to_first_answer_hours' AS measure, a AS value FROM u UNION ALL SELECT site, 'median_answer_response_hours', b FROM u),
-w AS (SELECT site, measure, value, row_number() OVER (PARTITION BY site, measure ORDER BY value) AS r, count(*) OVER (PARTITION BY site, measure) AS n FROM v WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value))
-SELECT site, measure, p.bp AS basis_points, value, n FROM w, (SELECT unnest([500, 1000, 2500, 5000, 7500, 9000, 9500, 9900]) AS bp) p WHERE r = greatest(1, (n * p.bp + 9999) // 10000)
+WITH u AS (SELECT DISTINCT ON (question_id) question_id, site, question_creation_datetime[:7] AS month, time_to_first_answer_hours AS a, median_answer_response_hours AS b FROM thread_characteristics WHERE question_id IS NOT NULL ORDER BY question_id, dump_snapshot_date DESC),
+v AS (SELECT site, month, 'time_to_first_answer_hours' AS measure, a AS value FROM u UNION ALL SELECT site, month, 'median_answer_response_hours', b FROM u),
+z AS (SELECT * FROM v UNION ALL SELECT site, NULL, measure, value FROM v),
+w AS (SELECT *, row_number() OVER (PARTITION BY site, month, measure ORDER BY value) AS r, count(*) OVER (PARTITION BY site, month, measure) AS n FROM z WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value))
+SELECT site, month, measure, p.bp AS basis_points, value, n FROM w, (SELECT unnest([500, 1000, 2500, 5000, 7500, 9000, 9500, 9900]) AS bp) p WHERE r = greatest(1, (n * p.bp + 9999) // 10000)
 """
 
 P3 = r"""
@@ -82,9 +92,29 @@ y AS (SELECT x.*, sa.n AS n_a, sb.n AS n_b, m.n AS n FROM x JOIN s sa ON sa.tag
 """
 
 
+REF = r"try_cast(nullif(regexp_extract({}, '^\s*0*([1-9][0-9]*)\s*$', 1), '') AS BIGINT)"
+DAY = r"CASE WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\.[0-9]+)?') AND try_cast(left({0}, 19) AS TIMESTAMP) IS NOT NULL THEN left({0}, 19) || regexp_replace(regexp_replace({0}[20:], '0+$', ''), '^\.$', '') END"
+SHOWS = r"coalesce(regexp_matches(regexp_replace(regexp_replace({}, '(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>', ' ', 'g'), '&nbsp;|&#160;|&#8203;|&#xA0;|&#x200B;', ' ', 'g'), '[^\s\p{{Z}}\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]'), false)"
+P6 = f"""
+WITH p AS (SELECT {REF.format('id')} AS id, post_type_id AS t, {REF.format('parent_id')} AS par, {DAY.format('creation_date')} AS said, {SHOWS.format('body')} AS shown FROM posts WHERE post_type_id IN ('1', '2')),
+q AS (SELECT DISTINCT id, said, shown FROM p WHERE t = '1' AND id IS NOT NULL),
+a AS (SELECT DISTINCT id, par, said, shown FROM p WHERE t = '2' AND id IS NOT NULL AND par IS NOT NULL),
+k AS (SELECT id AS post, id AS conv FROM q UNION SELECT id, par FROM a),
+c AS (SELECT DISTINCT {REF.format('id')} AS id, k.conv, {DAY.format('creation_date')} AS said FROM comments JOIN k ON {REF.format('post_id')} = k.post),
+r AS (SELECT par AS conv, said FROM a UNION ALL SELECT conv, said FROM c WHERE id IS NOT NULL),
+x AS (SELECT q.id, q.said, q.shown, (SELECT count(*) FROM a WHERE a.par = q.id AND a.shown) AS replies, (SELECT count(*) FROM r WHERE r.conv = q.id AND r.said IS NULL) AS bad, (SELECT min(r.said) FROM r WHERE r.conv = q.id) AS first FROM q)
+SELECT DISTINCT par AS conversation_id, 'no_question' AS reason FROM a WHERE par NOT IN (SELECT id FROM q)
+UNION ALL SELECT id, 'empty_question' FROM x WHERE NOT shown
+UNION ALL SELECT id, 'no_reply' FROM x WHERE replies = 0
+UNION ALL SELECT id, 'undated' FROM x WHERE said IS NULL OR bad > 0
+UNION ALL SELECT id, 'early_reply' FROM x WHERE first < said
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_percentiles": P1,
+        "p6_found": P6,
         "p3_found": P3 + "SELECT tag_a, tag_b FROM y WHERE n_ab >= 5 AND n_ab * n >= 4 * n_a * n_b",
         "p3_pairs": P3 + "SELECT *, round(n_ab * n / (n_a * n_b), 4) AS lift, round(log2(n_ab * n / (n_a * n_b)), 4) AS pmi, round(n_ab / n, 6) AS support FROM y",
     }
