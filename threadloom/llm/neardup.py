@@ -1,12 +1,12 @@
 """Near-duplicate records with small edits (problem 4) by covering locality-sensitive hashing.
 
 A record is the bag of its words; its elements are (word, occurrence), so the shared part of two bags is a plain set
-intersection whatever the words' order. Each bag gets 32 coordinates by consistent weighted sampling, where rarer
+intersection whatever the words' order. Each bag gets 40 coordinates by consistent weighted sampling, where rarer
 elements weigh more; two bags agree in a coordinate with the probability of their weighted similarity. The coordinates
-form four parts of eight. In each part the fifteen masks are the code words of the first-order Reed-Muller code: for
+form five parts of eight. In each part the fifteen masks are the code words of the first-order Reed-Muller code: for
 any three coordinates some mask avoids them all, so every pair that differs in at most three of a part's eight
-coordinates collides in one of its tables. Candidates that agree in at least five coordinates, which every covered
-pair does, are verified exactly on their bags. Equal bags are one class throughout; no bucket is capped: keys of two
+coordinates collides in one of its tables. Candidates that agree in at least AGREE of all coordinates, a quarter, are
+verified exactly on their bags; together the radius is: three of eight in some part, and three quarters of all. Equal bags are one class throughout; no bucket is capped: keys of two
 classes give their pair directly, larger keys are joined with themselves.
 
 Weights come from counts of elements over all records in a table of fixed size (ELEMENT_BUCKETS), which is all the
@@ -30,9 +30,9 @@ from threadloom.llm.spans import SEED, mix, salt
 from threadloom.session import materialize
 
 ELEMENT_BUCKETS = 1 << 18
-PARTS, WIDTH, TABLES = 4, 8, 15
+PARTS, WIDTH, TABLES = 5, 8, 15
 COORDINATES = PARTS * WIDTH
-AGREE = 5
+AGREE = 10
 
 
 @cache
@@ -102,7 +102,7 @@ def signatures(elements: np.ndarray, begins: np.ndarray, counts: np.ndarray, tot
     """COORDINATES x records, 16 bits each. Every bag has at least one element."""
     distinct, at = np.unique(elements, return_inverse=True)
     seen = np.maximum(counts[distinct % np.uint64(ELEMENT_BUCKETS)], 1)
-    weight = np.log1p(total / seen) ** 2
+    weight = np.where(seen > 1, np.log1p(total / seen) ** 3, 1e-30)  # what no other record holds can match nothing
     out = np.empty((COORDINATES, len(begins) - 1), np.uint16)
     for c in range(COORDINATES):
         uniform = ((mix(distinct + salt(c + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
