@@ -1,11 +1,13 @@
 """Rebuilding conversations from message rows (problem 6) with keyed streaming state.
 
 Posts and comments are read as streams. Each message becomes a row keyed by its conversation, with its arrival as
-event time; comments find their conversation by a join with the posts' keys. Rows of one conversation are combined
-before the shuffle, so a conversation with very many messages reaches the state as a few rows. The state of a
-conversation is a fixed-size summary. It waits for late messages until the watermark passes its last arrival by
-`patience`; then the conversation is closed, validated and emitted, and its state dropped. When a finite input ends, a
-closing mark moves the watermark past everything, so whatever is still open is emitted too.
+event time; comments find their conversation by a join with the posts' keys. The state of a conversation is a session
+of arrivals with a fixed-size summary, kept by the built-in session aggregation, which also merges the rows of one
+conversation before the shuffle, so a conversation with very many messages reaches the state as a few rows. A session
+buffers late messages until the watermark passes its last arrival by `patience`; then it is closed and emitted, and its
+state dropped. When a finite input ends, a closing mark moves the watermark past everything, so whatever is still open
+is emitted too. Summaries add up: a conversation that was closed and got messages much later comes out in parts, which
+are combined before it is validated.
 
 Defined results: a conversation comes out once for each reason for which it is broken, and not at all when it is
 sound; rows without a valid id are no messages; references beyond int64 name no conversation; repeated rows change
@@ -14,13 +16,8 @@ nothing; empty tables give no rows; messages without arrival count as arrived fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.functions.ids import instant_text, positive_id, reference_number, shows_something
 from threadloom.session import fresh_path, materialize
@@ -28,7 +25,6 @@ from threadloom.session import fresh_path, materialize
 FLAGS = ["has_question", "empty_question", "has_answer", "shown_answer", "undated"]
 INSTANTS = ["question_at", "reply_at"]
 MESSAGE = "conversation_id bigint, loaded_at timestamp, has_question tinyint, empty_question tinyint, has_answer tinyint, shown_answer tinyint, undated tinyint, question_at string, reply_at string"
-STATE = "has_question tinyint, empty_question tinyint, has_answer tinyint, shown_answer tinyint, undated tinyint, question_at string, reply_at string"
 EARLY = "1970-01-02 00:00:00"
 CLOSING = "2200-01-01 00:00:00"
 
@@ -66,63 +62,28 @@ def comment_messages(comments: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys, "post_id").select("conversation_id", "loaded_at", *[zero.alias(f) for f in FLAGS[:4]], "undated", F.lit(None).cast("string").alias("question_at"), "reply_at")
 
 
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per conversation of each batch: the part of the summary that its rows give."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        f = b.to_pandas()
-        for c in INSTANTS:  # objects with nulls: the least by sorting
-            f[c] = f[c].astype("object").where(f[c].notna(), "~")
-        g = f.groupby("conversation_id", sort=False).agg({"loaded_at": "max", **dict.fromkeys(FLAGS, "max"), **dict.fromkeys(INSTANTS, "min")}).reset_index()
-        for c in INSTANTS:
-            g[c] = g[c].where(g[c] != "~", None)
-        yield pa.RecordBatch.from_pandas(g, schema=b.schema, preserve_index=False)
-
-
-def reasons(s: tuple) -> list[str]:
-    """Why the conversation of a summary is broken."""
-    has_question, empty, has_answer, shown, undated, question_at, reply_at = s
-    if not has_question:
-        return ["no_question"] if has_answer else []
-    out = [name for name, holds in (("empty_question", empty), ("no_reply", not shown), ("undated", undated)) if holds]
-    if question_at and reply_at and reply_at < question_at:
-        out.append("early_reply")
-    return out
-
-
-def _least(a: str | None, b: str | None) -> str | None:
-    return min((x for x in (a, b) if x), default=None)
-
-
-def _updater(patience_ms: int):
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            found = reasons(state.get)
-            state.remove()
-            if found:
-                yield pd.DataFrame({"conversation_id": [key[0]] * len(found), "reason": found})
-            return
-        s, last = (state.get if state.exists else (0, 0, 0, 0, 0, None, None)), 0
-        for f in frames:
-            for at, *rest in zip(f["loaded_at"], *(f[c] for c in FLAGS), *(f[c] for c in INSTANTS)):
-                s = (*(int(max(x, y)) for x, y in zip(s[:5], rest[:5])), _least(s[5], rest[5]), _least(s[6], rest[6]))
-                last = max(last, int(at.value // 1_000_000))
-        state.update(s)
-        # never before the watermark, which the last arrivals may already have reached
-        state.setTimeoutTimestamp(max(last + patience_ms, state.getCurrentWatermarkMs() + 1))
-
-    return update
-
-
-def broken(messages: DataFrame, patience: str = "7 days", patience_ms: int = 7 * 86_400_000) -> DataFrame:
-    """The streaming plan: (conversation_id, reason) over a stream of message rows."""
-    return (
-        messages.mapInArrow(combine, MESSAGE)
-        .withWatermark("loaded_at", patience)
-        .groupBy("conversation_id")
-        .applyInPandasWithState(_updater(patience_ms), "conversation_id bigint, reason string", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def _summary() -> list:
+    return [*[F.max(f).alias(f) for f in FLAGS], *[F.min(c).alias(c) for c in INSTANTS]]
+
+
+def sessions(messages: DataFrame, patience: str = "30 days", lateness: str = "7 days") -> DataFrame:
+    """The streaming plan: the summary of each closed session of a conversation, over a stream of message rows."""
+    keyed = messages.withWatermark("loaded_at", lateness).groupBy("conversation_id", F.session_window("loaded_at", patience))
+    return keyed.agg(*_summary()).drop("session_window")
+
+
+def validate(closed: DataFrame) -> DataFrame:
+    """(conversation_id, reason) of the broken conversations among closed sessions."""
+    whole = closed.groupBy("conversation_id").agg(*_summary())
+    asked = F.col("has_question") == 1
+    held = F.array(
+        F.when(~asked & (F.col("has_answer") == 1), "no_question"),
+        F.when(asked & (F.col("empty_question") == 1), "empty_question"),
+        F.when(asked & (F.col("shown_answer") == 0), "no_reply"),
+        F.when(asked & (F.col("undated") == 1), "undated"),
+        F.when(asked & (F.col("reply_at") < F.col("question_at")), "early_reply"),
     )
+    return whole.select("conversation_id", F.explode(F.array_compact(held)).alias("reason"))
 
 
 def _stream(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -145,9 +106,16 @@ def find_broken(spark: SparkSession, posts_path: str, comments_path: str) -> Dat
     closing = spark.readStream.schema(MESSAGE).parquet(end_path)
     messages = post_messages(posts).unionByName(comment_messages(comments, keys)).unionByName(closing)
     out = fresh_path(spark, "conversations")
-    query = broken(messages).writeStream.format("parquet").option("checkpointLocation", fresh_path(spark, "stream")).option("path", out).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("conversation_id bigint, reason string").parquet(out)
+    plan = sessions(messages)
+    local_merge = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(local_merge, "false")
+    spark.conf.set(local_merge, "true")
+    try:
+        query = plan.writeStream.format("parquet").option("checkpointLocation", fresh_path(spark, "stream")).option("path", out).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(local_merge, before)
+    return validate(spark.read.schema(plan.schema).parquet(out))
 
 
 def turns(posts: DataFrame, comments: DataFrame, broken_ones: DataFrame) -> DataFrame:
