@@ -44,6 +44,8 @@ Our lab is at version {n}, second {w}.|Deliver it to /dev/null please.|Send the
 Reported by {P} {n}.|Blue Harbor and Amber Ridge are both {w} themes.|Green Valley and Red Stone are both {w} themes.|Has {P} answered yet?|The patch by {P} was never merged.|Credit goes to the {w} for the idea.|Call {c} after six.|Ring the {w} and ask for the log.|Postal mail goes to the {w} as before.
 I voted to close since the {w} is not {W}.|Please add the content of {f} to the question.|Then {v} the {w} first; {P} expects a {W} one.|Thanks, to {v} the {w} was what I missed.|Yes, since {n}.|No. Use {c}.|{P} {w} does that.|Restart the {w}.|You can't, the {w} is {W}.|+1|HTH|Good luck|Just my two cents
 SELECT {w}, {i} FROM {i}_{w} WHERE {i} > {d}|{i} = {v}_{w}({i}, {d})|if {w} < {s} and not {i}:|$ {i} --{w}={i}|    return {i}["{w}"] & {h}|{v} the {W} {w}|What is the difference between a {W} {w} and a {w} in {P}?|Why does {c} {v} my {w} twice in {P} {n}?
+My understanding of a {w} is that it should {v} on my laptop, never in a {W} {w}.|I have a {W} {w} in {P} that should {v} the {w} whenever the {w} starts to {v}.|There are two {w} settings: one that will {v} the {w} and a {W} one for {f}.|As far as I can tell, {P} treats a {W} {w} as a {w} and will {v} it at random.
+This happens because the {w} holds a {W} {w} while {c} waits to {v}.|What I expected was a {W} {w}; what I get is a {w} of {n} rows.|The simplest fix is to {v} {f} and let the {w} {v} itself.|I do not want to {v} the {w} each time, since the {w} is {W} under load.|My supervisor reads {f} and then calls {c} on every {W} {w}.|Sorry, I am not able to comment on {P}.
 El {w} no se puede {v} aunque el {w} {W} ya está listo.|Después de pasar a {P} {n}, el {w} solo muestra error {h}.|Según el manual, {c} puede {v} como máximo {n} filas.|¿Hay alguna manera de {v} el {w} sin detener {P}?|Necesité {n} intentos para {v} el {w} de {P}.|A mí me sirvió {v} {f} y luego volver a {v} el {w}.|Sin el {w} nadie puede {v} {f} correctamente.
 Der {N} lässt sich nicht {v}, obwohl der {W} {N} schon bereitsteht.|Laut Handbuch darf {c} höchstens {n} Zeilen {v}.|Unser {N} läuft seit Wochen, doch der {W} {N} bricht mit error {h} ab.|Nach dem Wechsel auf {P} {n} meldet der {N} nur noch {h}.|Ich habe {n} Versuche gebraucht, um den {N} zu {v}.|Wer den {N} mit {c} aufruft, sollte vorher den {N} {v}.|Bei mir half es, {f} zu {v} und danach {P} neu zu {v}.|Man muss zuerst den {N} {v}, sonst bleibt der {W} {N} stehen.
 Je pense que le {w} garde une copie de {f} trop longtemps.|Depuis la version {n} de {P}, le {w} renvoie toujours error {h}.|Il faut d'abord {v} le {w}, sinon le {w} {W} ne répond plus.
@@ -115,7 +117,7 @@ class Maker:
         d = self.digits
         return self.pick([
             lambda: f"+44 1632 960{d(3)}", lambda: f"+49 30 23125 {d(3)}", lambda: f"0044 1632 960 {d(3)}", lambda: f"212 555 01{d(2)}" + self.pick([f" ext. {d(2)}", ""]), lambda: f"+331{d(2)} {d(6)}", lambda: f"01632/960{d(3)}",
-            lambda: f"1.617.555.0{d(3)}", lambda: f"+1 202-555-0{d(3)}", lambda: f"(303) 555-0{d(3)}", lambda: f"020 7946 0{d(3)}", lambda: f"01 99 00 {d(2)} {d(2)}", lambda: f"415555{d(4)}", lambda: f"+34 6{d(2)} {d(3)} {d(3)}", lambda: f"0{d(3)} {d(7)}", lambda: f"+{d(2)}{d(9)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(2)}/{d(7)}",
+            lambda: f"1.617.555.0{d(3)}", lambda: f"+1 202-555-0{d(3)}", lambda: f"(303) 555-0{d(3)}", lambda: f"020 7946 0{d(3)}", lambda: f"01 99 00 {d(2)} {d(2)}", lambda: f"415555{d(4)}", lambda: f"415{d(7)}", lambda: d(10), lambda: f"+34 6{d(2)} {d(3)} {d(3)}", lambda: f"0{d(3)} {d(7)}", lambda: f"+{d(2)}{d(9)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(2)}/{d(7)}",
         ])()
 
     def id_number(self) -> str:
@@ -143,7 +145,7 @@ class Maker:
         return re.sub(r"\{(\w)\}", lambda m: fill[m[1]](), template)
 
 
-def labelled_table(seed: int = 7, per_kind: int = 420, neutral: int = 2600) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(seed: int = 7, per_kind: int = 260, neutral: int = 1600) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, spans) with spans of (start, stop, kind)."""
     m = Maker(seed)
     templates = [t for line in NEUTRAL.strip().split("\n") for t in line.split("|")]

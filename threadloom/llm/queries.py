@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, conversations, defects, neardup, packing, pairs, percentiles, spans
+from threadloom.llm import bpe, conversations, defects, neardup, packing, pairs, percentiles, pii, spans
 from threadloom.session import materialize, table
 
 
@@ -42,6 +42,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(found).withColumnRenamed("id", "question_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "posts"), table(spark, d, "comments"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "posts"), table(spark, d, "comments"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.find_broken(spark, f"{d}/posts.parquet", f"{d}/comments.parquet")
 
@@ -71,7 +79,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_percentiles, p2_found, p3_found, p3_pairs, p4_found, p4_groups, p6_found, p6_turns, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_percentiles, p2_found, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_redacted, p6_found, p6_turns, p8_ids, p9_packing, p9_fill, p10_found, p10_shares)}
 
 
 P1 = """
