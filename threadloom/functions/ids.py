@@ -60,7 +60,7 @@ def instant_text(c: Column | str) -> Column:
 #: Entities of blanks and of characters without width.
 BLANK_ENTITY = (
     r"(?i)&(?:nbsp|ensp|emsp|thinsp|hairsp|numsp|puncsp|emsp13|emsp14|tab|newline|zwnj|zwj|lrm|rlm|shy|zerowidthspace|nobreak|mediumspace|nonbreakingspace);?"
-    r"|&#(?:0*(?:9|1[0-3]|32|133|160|173|5760|6158|819[2-9]|820[0-7]|8232|8233|8239|8287|8288|12288|65279)|x0*(?:[9a-d]|20|85|a0|ad|1680|180e|200[0-9a-f]|2028|2029|202f|205f|2060|3000|feff));?"
+    r"|&#(?:0*(?:9|1[0-3]|32|133|160|173|5760|6158|819[2-9]|820[0-7]|8232|8233|8239|8287|8288|12288|65279)(?![0-9])|x0*(?:[9a-d]|20|85|a0|ad|1680|180e|200[0-9a-f]|2028|2029|202f|205f|2060|3000|feff)(?![0-9a-f]));?"
 )
 BLANK = r"\s\p{Z}\x{1c}-\x{1f}\x{85}\x{ad}\x{180e}\x{200b}-\x{200f}\x{2060}\x{feff}"
 

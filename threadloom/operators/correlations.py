@@ -64,6 +64,8 @@ def rank_correlations(df: DataFrame, columns: Sequence[str], excluded: Sequence[
     """
     skip = {frozenset(p) for p in excluded}
     pairs = [p for p in combinations(columns, 2) if frozenset(p) not in skip]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], SCHEMA)
     items = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]))
     both = df.select(items.alias("i")).select("i.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("pair", "x", "y").agg(F.count("*").alias("n"))
 
