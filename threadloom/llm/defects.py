@@ -29,6 +29,7 @@ from threadloom.operators.skew import skew_join
 
 COPIED = 0.9
 LEAD_IN = 8
+LONG_RUN = 8
 SHINGLE = 3
 
 # Templates of refusals, over lower-case words; each must match a whole sentence from its beginning.
@@ -188,8 +189,8 @@ def is_copy(answer: list[str], prompt: Prompt) -> bool:
     # the lead-in is what stands before the first shared shingle
     skip = min(hits.index(True), LEAD_IN, n - SHINGLE)
     rest = answer[skip:]
-    if len(rest) * 2 < n:
-        return False
+    if len(rest) < LONG_RUN:  # too short to be a run of the body
+        return rest == prompt.title or rest == prompt.body
     return common_subsequence(rest, prompt.title + prompt.body)[-1] >= COPIED * len(rest)
 
 
