@@ -1,9 +1,9 @@
 """Near-duplicate records with small edits (problem 4) by covering locality-sensitive hashing.
 
 A record is the bag of its words; its elements are (word, occurrence), so the shared part of two bags is a plain set
-intersection whatever the words' order. Each bag gets 40 coordinates by consistent weighted sampling, where rarer
+intersection whatever the words' order. Each bag gets 64 coordinates by consistent weighted sampling, where rarer
 elements weigh more; two bags agree in a coordinate with the probability of their weighted similarity. The coordinates
-form five parts of eight. In each part the fifteen masks are the code words of the first-order Reed-Muller code: for
+form eight parts of eight. In each part the fifteen masks are the code words of the first-order Reed-Muller code: for
 any three coordinates some mask avoids them all, so every pair that differs in at most three of a part's eight
 coordinates collides in one of its tables. Candidates that agree in at least AGREE of all coordinates, a quarter, are
 verified exactly on their bags; together the radius is: three of eight in some part, and three quarters of all. Equal bags are one class throughout; no bucket is capped: keys of two
@@ -30,9 +30,9 @@ from threadloom.llm.spans import SEED, mix, salt
 from threadloom.session import materialize
 
 ELEMENT_BUCKETS = 1 << 18
-PARTS, WIDTH, TABLES = 5, 8, 15
+PARTS, WIDTH, TABLES = 8, 8, 15
 COORDINATES = PARTS * WIDTH
-AGREE = 10
+AGREE = 16
 
 
 @cache
