@@ -162,6 +162,9 @@ def train(seed: int = 7, epochs: int = 10, batch: int = 256, rate: float = 0.12,
             inside = np.flatnonzero((tokens.text == i) & (tokens.start >= tokens.begins[i] + a) & (tokens.stop <= tokens.begins[i] + b))
             label[inside] = 2 + 2 * KINDS.index(kind)
             label[inside[:1]] -= 1
+    # an item that goes on in the next line begins there anew
+    heads = np.diff(tokens.line, prepend=-1) != 0
+    label[heads & (label > 0) & (label % 2 == 0)] -= 1
     own = [features(t) for t in tokens.types]
     seen = Counter(f for k in tokens.type.tolist() for f in own[k])
     names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 4))}

@@ -14,7 +14,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 GIVEN = """Anna Ben Carla David Elena Felix Greta Hugo Ingrid Jonas Karin Leif Marta Nadia Oskar Paula Rafael Sofia Tomas Ursula Viktor
 Wanda Yusuf Zainab Amir Bruno Camila Dmitri Emeka Fatima Gustav Hamish Idris Jolanta Kwame Lucinda Mateo Noor Odalys Pedro Renzo Saskia
 Tariq Anneke Hollis Bastien Maria John James Mary Peter Paul Laura Julia Simon Lukas Emma Oliver Lena Nina Max Tim Eva Ivan Olga Chen Wei
-Akira Yuki Priya Raj Aisha Omar Chloe Louis Marie Pierre Luca Giulia Marco Sara Jan Piet Sven Lars Astrid Bjorn Carmen Jose Luis Pablo""".split()
+Akira Yuki Priya Raj Aisha Omar Chloe Louis Marie Pierre Luca Giulia Marco Sara Jan Piet Sven Lars Astrid Bjorn Carmen Jose Luis Pablo Benedikt Farah Fiona Beatriz Clara Erik Georg Hanna Irene Klaus Lucia Miguel Nora Otto Petra Rosa Stefan Teresa Victor Walter""".split()
 TITLES = ["Dr.", "Ms", "Mr", "Mrs", "Prof.", "Herr", "Frau", "Mr.", "Ms.", "Mrs."]
 
 CARRIERS = {
@@ -83,17 +83,17 @@ class Maker:
 
     def name(self) -> str:
         g, f, x = self.given(), self.family(), self.r.random()
-        if x < 0.42:
+        if x < 0.36:
             return f"{g} {f}"
-        if x < 0.52:
-            return f"{self.pick(TITLES)} {g} {f}" if self.r.random() < 0.7 else f"{self.pick(TITLES)} {f}" if False else f"{self.pick(TITLES)} {g} {f}"
-        if x < 0.60:
+        if x < 0.46:
+            return f"{self.pick(TITLES)} {g} {f}"
+        if x < 0.54:
             return f"{g} {self.pick('ABCDEFGHIKLMNOPRSTVW')}. {f}"
-        if x < 0.69:
+        if x < 0.63:
             return f"{g[0]}. {f}"
-        if x < 0.77:
+        if x < 0.71:
             return f"{g} {f[0]}."
-        if x < 0.86:
+        if x < 0.79:
             return f"{f.upper()}, {g}"
         if x < 0.97:
             return f"{g} {f}".lower()
@@ -132,7 +132,7 @@ class Maker:
         street, city, d, n = (self.invented(1, 2) + self.pick(["bank", "grove", "gate", "lark", "market", "way", "pit", "quell", "ley", "field", ""])).capitalize(), self.pick([self.invented(2, 3).capitalize(), "Port " + self.invented(1, 2).capitalize(), "Little " + self.invented(1, 2).capitalize(), self.invented(2, 2).capitalize() + " Hollow"]), self.digits, self.r.randint(1, 240)
         return self.pick([
             lambda: f"{n} {street} {self.pick(['Street', 'Lane', 'Road', 'Drive'])}, {city}", lambda: f"{n} {street} Rd, {city} QQ{d(1)} {d(1)}ZZ", lambda: f"{street}straße {n}, 00{d(3)} {city}", lambda: f"{n}{self.pick([',', ''])} rue des {street}, 00{d(3)} {city}", lambda: f"calle {street} {n}, 2º B, {city}",
-            lambda: f"Apt {d(1)}B, {n} North {street} St., {city}", lambda: f"{n}a {street.lower()} avenue, {city}", lambda: f"{n} {street} Street Unit {d(2)} {city}", lambda: f"{street}str. {n}, {d(5)} {city}", lambda: f"Am {street} {n}, {city}", lambda: f"{street}weg {n}", lambda: f"{n} {street} {self.pick(['Street', 'Lane', 'Avenue'])}",
+            lambda: f"Apt {d(1)}B, {n} North {street} St., {city}", lambda: f"{n}a {street.lower()} avenue, {city}", lambda: f"{n} {street} Street Unit {d(2)} {city}", lambda: f"{street}str. {n}, {d(5)} {city}", lambda: f"Am {street} {n}, {city}", lambda: f"{street}weg {n}", lambda: f"{n} {street} Street\nUnit {d(2)}\n{city}", lambda: f"{n} {street} {self.pick(['Street', 'Lane', 'Avenue'])}",
         ])()
 
     def neutral(self, template: str) -> str:
@@ -167,6 +167,6 @@ def labelled_table(seed: int = 7, per_kind: int = 260, neutral: int = 1600) -> l
         text = m.neutral(templates[k % len(templates)])
         if m.r.random() < 0.4:
             text += " " + m.neutral(m.pick(templates))
-        out.append((text, []))
+        out.append((text.upper() if m.r.random() < 0.06 else text, []))
     m.r.shuffle(out)
     return out
