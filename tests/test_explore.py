@@ -57,3 +57,21 @@ def test_skew_join(spark):
     hot = skew.hot_keys(left, "k", least=100)
     assert hot == [1]
     assert rows_of(skew.skew_join(left, right, "k", "row", hot=hot).select("row", "v")) == rows_of(left.join(right, "k").select("row", "v"))
+
+
+def test_quantiles_of_any_size(spark):
+    import random
+
+    import numpy as np
+
+    from threadloom.operators.quantiles import exact_quantiles, group_medians
+
+    rng = random.Random(3)
+    rows = [(i % 5, rng.choice([rng.lognormvariate(0, 4), 1.0, -2.5, 0.0]), None) for i in range(3000)] + [(9, float("nan"), None), (9, None, None), (8, 4.0, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    probabilities = [0, 0.005, 0.25, 0.5, 0.75, 0.99, 1]
+    values = [x for _, x, _ in rows if x is not None and x == x]
+    got = exact_quantiles(df, {"x": probabilities, "y": [0.5], "g": [0.5]})
+    assert np.allclose(got["x"], np.quantile(values, probabilities), rtol=1e-12) and got["y"] == [None] and got["g"] == [2.0]
+    medians = {r["g"]: r["median"] for r in group_medians(df.where("not isnan(x)"), "g", "x", 1.5).collect()}
+    assert medians == {g: np.median([x for k, x, _ in rows if k == g and x is not None and x == x]) for g in (0, 1, 2, 3, 4, 8)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import split_tags
+from threadloom.operators.quantiles import exact_quantiles
 
 
 def percent(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -76,6 +78,9 @@ def cohort_summary(evolution: DataFrame) -> DataFrame:
     return evolution.groupBy("cohort_month").agg(F.max("cohort_size").alias("cohort_size"), own.alias("same_month"), F.max("answered").alias("by_end")).select("*", percent(F.col("same_month"), F.col("cohort_size")).alias("same_month_percentage"), percent(F.col("by_end"), F.col("cohort_size")).alias("by_end_percentage"))
 
 
+PROFILE = "measurement string, available bigint, low double, high double, displayed bigint, below bigint, above bigint, minimum double, median double, maximum double, edges array<double>"
+
+
 @dataclass(frozen=True)
 class Spec:
     """How one measurement's distribution is shown."""
@@ -87,38 +92,39 @@ class Spec:
 
 
 def distribution_profiles(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
-    """One row per measurement: disclosed range, what lies outside it, bins. Two passes for all measurements together."""
+    """One row per measurement: disclosed range, what lies outside it, bins. All measurements share each pass."""
     for s in specs:
         if not 0.5 <= s.coverage < 1:
             raise ValueError(f"coverage of {s.column} must be in [0.5, 1)")
-    aggregates = []
+    of = {s.column: s for s in specs}
+    quantiles = exact_quantiles(df, {c: ((1 - s.coverage) / 2, 1 - (1 - s.coverage) / 2, 0.5) if s.signed else (s.coverage, 0.5) for c, s in of.items()})
+    ends = df.agg(*[F.struct(F.count(F.col(c)).alias("n"), F.min(F.col(c).cast("double")).alias("least"), F.max(F.col(c).cast("double")).alias("most")).alias(c) for c in of]).first()
+    known, shown = [], []
     for s in specs:
-        c, tail = F.col(s.column).cast("double"), (1 - s.coverage) / 2
-        low = F.percentile(c, F.lit(tail)) if s.signed else F.greatest(F.lit(0.0), F.min(c))
-        high = F.percentile(c, F.lit(1 - tail if s.signed else s.coverage))
-        if s.whole:
-            low, high = F.floor(low).cast("double"), F.ceil(high).cast("double")
-        aggregates.append(F.struct(F.count(c).alias("n"), low.alias("low"), high.alias("high"), F.min(c).alias("least"), F.max(c).alias("most"), F.percentile(c, F.lit(0.5)).alias("median")).alias(s.column))
-    ranges = df.agg(*aggregates).first()
-    shown, known = [], []
-    for s in specs:
-        r = ranges[s.column]
-        if not r["n"]:
+        e, q = ends[s.column], quantiles[s.column]
+        if not e["n"]:
             continue
-        low, high = r["low"], r["high"]
+        low, high = (q[0], q[1]) if s.signed else (max(0.0, e["least"]), q[0])
+        if s.whole:
+            low, high = float(math.floor(low)), float(math.ceil(high))
         if high <= low:
-            high = max(r["most"], low + 1)
-        known.append((s, r, low, high))
+            high = max(e["most"], low + 1)
+        known.append((s, {**e.asDict(), "median": q[-1]}, low, high))
         c = F.col(s.column).cast("double")
         inside = F.when((c >= low) & (c <= high), c)
-        shown.append(F.struct(F.count(inside).alias("displayed"), count_if(c < low).alias("below"), count_if(c > high).alias("above"), F.percentile(inside, F.lit(0.25)).alias("q1"), F.percentile(inside, F.lit(0.75)).alias("q3"), F.min(inside).alias("a"), F.max(inside).alias("b")).alias(s.column))
-    counts = df.agg(*shown).first() if shown else {}
+        shown += [inside.alias(s.column), (c < low).alias(f"{s.column}_below"), (c > high).alias(f"{s.column}_above")]
+    if not known:
+        return df.sparkSession.createDataFrame([], PROFILE)
+    displayed = df.select(*shown)
+    quartiles = exact_quantiles(displayed, {s.column: (0.25, 0.75) for s, *_ in known})
+    tallies = displayed.agg(*[F.struct(F.count(s.column).alias("displayed"), count_if(F.col(f"{s.column}_below")).alias("below"), count_if(F.col(f"{s.column}_above")).alias("above"), F.min(s.column).alias("a"), F.max(s.column).alias("b")).alias(s.column) for s, *_ in known]).first()
+    counts = {s.column: {**tallies[s.column].asDict(), "q1": quartiles[s.column][0], "q3": quartiles[s.column][1]} for s, *_ in known}
     rows = []
     for s, r, low, high in known:
         k = counts[s.column]
         edges = bin_edges(s.whole, low, high, k)
         rows.append((s.column, r["n"], float(low), float(high), k["displayed"], k["below"], k["above"], r["least"], r["median"], r["most"], edges))
-    return df.sparkSession.createDataFrame(rows, "measurement string, available bigint, low double, high double, displayed bigint, below bigint, above bigint, minimum double, median double, maximum double, edges array<double>")
+    return df.sparkSession.createDataFrame(rows, PROFILE)
 
 
 def bin_edges(whole: bool, low: float, high: float, k) -> list[float]:
@@ -143,9 +149,9 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 def high_fences(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(measurement, available, q1, q3, fence, outliers, share): the upper fence q3 + 1.5 (q3 - q1) of each column."""
-    quartiles = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("measurement"), F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3")) for i, c in enumerate(columns)]))
-    fences = quartiles.select(rows.alias("r")).select("r.*").withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    quartiles = exact_quantiles(df, {c: (0.25, 0.75) for c in columns})
+    known = [(i, c, *quartiles[c], quartiles[c][1] + 1.5 * (quartiles[c][1] - quartiles[c][0])) for i, c in enumerate(columns) if quartiles[c][0] is not None]
+    fences = df.sparkSession.createDataFrame(known, "position int, measurement string, q1 double, q3 double, fence double")
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("measurement"), F.col(c).cast("double").alias("value")) for c in columns]))
     counted = df.select(values.alias("v")).select("v.*").join(F.broadcast(fences), "measurement").groupBy("position", "measurement", "q1", "q3", "fence").agg(F.count("value").alias("available"), count_if(F.col("value") > F.col("fence")).alias("outliers"))
     return counted.withColumn("share", percent(F.col("outliers"), F.col("available")))
@@ -153,11 +159,11 @@ def high_fences(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def with_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with a Boolean `<column>_high` for each column, `high_count` and `high_names`. A null is never high."""
-    quartiles = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
+    quartiles = exact_quantiles(df, {c: (0.25, 0.75) for c in columns})
     flags = {}
     for c in columns:
         q = quartiles[c]
-        flags[c] = F.coalesce(F.col(c).cast("double") > F.lit(q[1] + 1.5 * (q[1] - q[0])), F.lit(False)) if q and q[0] is not None else F.lit(False)
+        flags[c] = F.coalesce(F.col(c).cast("double") > F.lit(q[1] + 1.5 * (q[1] - q[0])), F.lit(False)) if q[0] is not None else F.lit(False)
     total = reduce(lambda a, b: a + b, [f.cast("int") for f in flags.values()])
     names = F.array_join(F.array_compact(F.array(*[F.when(f, F.lit(c)) for c, f in flags.items()])), "; ")
     return df.select("*", *[f.alias(f"{c}_high") for c, f in flags.items()], total.alias("high_count"), names.alias("high_names"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from threadloom.functions.html import html_measures
 from threadloom.functions.ids import positive_id, reference_number, valid_timestamp
 from threadloom.functions.scalars import bad_integer, elapsed_hours, half_even_6, mismatch, optional_integer, tag_names
+from threadloom.operators.quantiles import group_medians
 from threadloom.operators.threads import chronological_key, date_range, distinct_records, first_child
 from threadloom.plans.columns import NAMES
+from threadloom.session import materialize
 
 DATES = {"posts": ["creation_date", "last_edit_date", "closed_date"], "comments": ["creation_date"], "votes": ["creation_date"]}
 
@@ -74,12 +76,15 @@ def build(posts: DataFrame, comments: DataFrame, votes: DataFrame, snapshot: str
 
     a = records(posts.where("post_type_id = '2'")).withColumn("parent", reference_number("parent_id")).withColumn("at", valid_timestamp("creation_date")).where("parent is not null and at is not null")
     answers = a.select("parent", "id_number", "id", "creation_date", "at", optional_integer("score").alias("points")).join(keys.withColumnRenamed("id_number", "parent"), "parent")
-    timed = answers.withColumn("delay", elapsed_hours(F.col("at"), F.col("asked")))
+    accepted = a.select(F.col("id_number").alias("accepted"), F.col("parent").alias("id_number"), F.struct(F.col("creation_date").alias("created"), "at", F.col("owner_user_id").alias("user"), F.col("owner_display_name").alias("shown"), F.col("content_license").alias("license"), optional_integer("score").alias("points"), F.col("body").alias("body")).alias("acc"))
+    to_beat = q.select("id_number", "accepted").where("accepted is not null").join(accepted.select("accepted", "id_number", F.col("acc.points").alias("to_beat")), ["accepted", "id_number"]).select(F.col("id_number").alias("parent"), "to_beat")
+    timed = materialize(answers.join(to_beat, "parent", "left").withColumn("delay", elapsed_hours(F.col("at"), F.col("asked"))), "answers")
     order = chronological_key("creation_date", "id_number")
     first = F.min(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)], "id", "creation_date", "at", "delay")).alias("first")
-    per_answer = timed.groupBy("parent").agg(F.count("*").alias("n"), first, half_even_6(F.percentile("delay", F.lit(0.5))).alias("median_delay"), (F.max("points") - F.min("points")).alias("spread"), F.sort_array(F.collect_list("points")).alias("points"))
+    per_answer = timed.groupBy("parent").agg(F.count("*").alias("n"), first, (F.max("points") - F.min("points")).alias("spread"), F.count_if(F.col("points") > F.col("to_beat")).alias("better"))
+    medians = group_medians(timed, "parent", "delay", width=24.0).select("parent", half_even_6("median").alias("median_delay"))
+    per_answer = per_answer.join(medians, "parent", "left")
 
-    accepted = a.select(F.col("id_number").alias("accepted"), F.col("parent").alias("id_number"), F.struct(F.col("creation_date").alias("created"), "at", F.col("owner_user_id").alias("user"), F.col("owner_display_name").alias("shown"), F.col("content_license").alias("license"), optional_integer("score").alias("points"), F.col("body").alias("body")).alias("acc"))
     c = records(comments).select(reference_number("post_id").alias("parent"), "id_number", "creation_date", valid_timestamp("creation_date").alias("at")).where("at is not null")
     firsts = per_answer.select("parent", F.col("first.at").alias("first_at"), F.struct("first.k0", "first.k1").alias("first_key"))
     said = c.join(keys.select(F.col("id_number").alias("parent")), "parent").join(firsts, "parent", "left")
@@ -107,7 +112,7 @@ def build(posts: DataFrame, comments: DataFrame, votes: DataFrame, snapshot: str
         "first_answer_id": F.col("first.id"), "first_answer_creation_datetime": F.col("first.creation_date"), "time_to_first_answer_hours": F.col("first.delay"), "median_answer_response_hours": F.col("median_delay"), "accepted_answer_available": F.col("acc").isNotNull(), "accepted_answer_creation_datetime": F.col("acc.created"),
         "accepted_answer_url": F.concat(F.lit("https://"), where, F.lit("/a/"), F.col("accepted").cast("string")), "accepted_answer_owner_user_id": F.col("acc.user"), "accepted_answer_owner_display_name": F.col("acc.shown"), "accepted_answer_content_license": F.col("acc.license"), "time_to_eventually_accepted_answer_post_hours": elapsed_hours(F.col("acc.at"), F.col("asked")),
         "acceptance_date": F.col("acceptance_date"), "days_to_acceptance": F.when(acc_days >= 0, acc_days), "accepted_answer_score": F.col("acc.points"), "accepted_answer_body_text": F.col("am.visible_text"), "answer_score_spread": F.col("spread"),
-        "accepted_answer_score_rank": F.when(F.col("acc.points").isNotNull(), (F.size(F.filter("points", lambda p: p > F.col("acc.points"))) + 1).cast("bigint")), "available_question_comment_count": F.coalesce("comments", F.lit(0)), "comments_before_first_answer": F.when(F.col("n") > 0, F.coalesce("before", F.lit(0))), "observation_days_at_dump": F.datediff(snap, asked_day).cast("bigint"),
+        "accepted_answer_score_rank": F.when(F.col("acc.points").isNotNull(), F.col("better") + 1), "available_question_comment_count": F.coalesce("comments", F.lit(0)), "comments_before_first_answer": F.when(F.col("n") > 0, F.coalesce("before", F.lit(0))), "observation_days_at_dump": F.datediff(snap, asked_day).cast("bigint"),
     }
     del platform, none
     return t.select(*[values[n].alias(n) for n in NAMES])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.html import html_measures
 from threadloom.functions.ids import positive_id, reference, reference_number, valid_timestamp
 from threadloom.functions.scalars import elapsed_microseconds, optional_integer, split_tags, tag_names, word_count
-from threadloom.operators import correlations, explore, references, threads
+from threadloom.operators import correlations, explore, quantiles, references, threads
 from threadloom.plans import characteristics, explore_table, summary
 from threadloom.session import fresh_path, table
 from threadloom.sinks import workbook
@@ -102,8 +102,9 @@ CAST(floor(quantile_cont(date_diff('microsecond', q.said, a.said), 0.5)) AS BIGI
 )
 def child_aggregate(spark: SparkSession, d: str) -> DataFrame:
     q = _questions(spark, d).where("asked is not null").select("id_number", "asked")
-    a = _answers(spark, d).where("at is not null").select("parent", "at", "points").join(q.withColumnRenamed("id_number", "parent"), "parent")
-    per = threads.child_counts(a, "parent", answers=F.count("*"), score_spread=F.max("points") - F.min("points"), median_delay_us=F.floor(F.percentile(elapsed_microseconds(F.col("at"), F.col("asked")), F.lit(0.5))).cast("bigint"))
+    a = _answers(spark, d).where("at is not null").select("parent", "at", "points").join(q.withColumnRenamed("id_number", "parent"), "parent").withColumn("delay", elapsed_microseconds(F.col("at"), F.col("asked")))
+    medians = quantiles.group_medians(a, "parent", "delay", width=86_400e6).select("parent", F.floor("median").cast("bigint").alias("median_delay_us"))
+    per = threads.child_counts(a, "parent", answers=F.count("*"), score_spread=F.max("points") - F.min("points")).join(medians, "parent", "left")
     out = threads.with_children(q, "id_number", per, "parent", ["answers"])
     return out.select(F.col("id_number").alias("question_id"), "answers", (F.col("answers") > 0).alias("has_answer"), "score_spread", "median_delay_us")
 
