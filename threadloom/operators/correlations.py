@@ -9,6 +9,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import materialize
+
 SCHEMA = "position int, first string, second string, observations bigint, rho double, p_value double"
 
 
@@ -46,13 +48,24 @@ def two_sided_p(rho: float, n: int) -> float:
     return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
 
 
+def running_counts(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
+    """(group, value, n, upto): the running sum of n by value. Approximate cut points, about two hundred for each group,
+    part the values, so no task orders all of them; the sums stay exact wherever the cuts fall."""
+    cuts = counts.groupBy(group).agg(F.expr(f"percentile_approx(`{value}`, array({', '.join(str(i / 200) for i in range(1, 200))}), 1000)").alias("_cuts"))
+    parted = counts.join(cuts, group).select(group, value, n, F.expr(f"size(filter(_cuts, x -> x < `{value}`))").alias("_part"))
+    before = F.sum("_sum").over(Window.partitionBy(group).orderBy("_part")) - F.col("_sum")
+    sums = parted.groupBy(group, "_part").agg(F.sum(n).alias("_sum")).select(group, "_part", before.alias("_before"))
+    within = F.sum(n).over(Window.partitionBy(group, "_part").orderBy(value))
+    return parted.withColumn("_within", within).join(sums, [group, "_part"]).select(group, value, n, (F.col("_within") + F.col("_before")).alias("upto"))
+
+
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Ranks of each column, ties averaged, by counts of distinct values: a running sum over values, no sort of rows."""
+    """Ranks of each column, ties averaged, by running counts of its distinct values."""
     out = df
     for c in columns:
-        counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-        ranked = counts.select(F.col(c).alias("_value"), (F.sum("_n").over(Window.orderBy(c)) - (F.col("_n") - 1) / F.lit(2.0)).alias(f"_rank_{c}"))
-        out = out.join(ranked, F.col(c) == F.col("_value")).drop("_value")
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.lit(0).alias("_g"), F.col(c).alias("_value")).agg(F.count("*").alias("_n"))
+        ranked = running_counts(counts, "_g", "_value", "_n").select("_value", (F.col("upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(f"_rank_{c}"))
+        out = out.join(ranked, F.col(c) == F.col("_value"), "left").drop("_value")
     return out
 
 
@@ -68,11 +81,11 @@ def rank_correlations(df: DataFrame, columns: Sequence[str], excluded: Sequence[
         return df.sparkSession.createDataFrame([], SCHEMA)
     items = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]))
     both = df.select(items.alias("i")).select("i.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("pair", "x", "y").agg(F.count("*").alias("n"))
+    both = materialize(both, "value-pairs")
 
     def ranks(c: str) -> DataFrame:
-        counts = both.groupBy("pair", c).agg(F.sum("n").alias("k"))
-        upto = F.sum("k").over(Window.partitionBy("pair").orderBy(c))
-        return counts.select(F.col("pair").alias(f"p_{c}"), F.col(c).alias(f"v_{c}"), (upto - (F.col("k") - 1) / F.lit(2.0)).alias(f"r_{c}"))
+        counts = running_counts(both.groupBy("pair", c).agg(F.sum("n").alias("k")), "pair", c, "k")
+        return counts.select(F.col("pair").alias(f"p_{c}"), F.col(c).alias(f"v_{c}"), (F.col("upto") - (F.col("k") - 1) / F.lit(2.0)).alias(f"r_{c}"))
 
     joined = both
     for c in ("x", "y"):
