@@ -49,9 +49,9 @@ def two_sided_p(rho: float, n: int) -> float:
 
 
 def running_counts(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
-    """(group, value, n, upto): the running sum of n by value. Approximate cut points, about two hundred for each group,
+    """(group, value, n, upto): the running sum of n by value. Approximate cut points, forty for each group,
     part the values, so no task orders all of them; the sums stay exact wherever the cuts fall."""
-    cuts = counts.groupBy(group).agg(F.expr(f"percentile_approx(`{value}`, array({', '.join(str(i / 200) for i in range(1, 200))}), 1000)").alias("_cuts"))
+    cuts = counts.groupBy(group).agg(F.expr(f"percentile_approx(`{value}`, array({', '.join(str(i / 40) for i in range(1, 40))}), 1000)").alias("_cuts"))
     parted = counts.join(cuts, group).select(group, value, n, F.expr(f"size(filter(_cuts, x -> x < `{value}`))").alias("_part"))
     before = F.sum("_sum").over(Window.partitionBy(group).orderBy("_part")) - F.col("_sum")
     sums = parted.groupBy(group, "_part").agg(F.sum(n).alias("_sum")).select(group, "_part", before.alias("_before"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from threadloom.session import discard, materialize
 
-PARTS = 256
+PARTS = 1024
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
