@@ -70,3 +70,47 @@ def test_agreement_estimates_similarity():
     sig = neardup.signatures(element, begins, counts, 1000)
     assert abs((sig[:, 0] == sig[:, 1]).mean() - 240 / 360) < 0.25
     rng.random()
+
+
+def texts_and_copies(other, pairs=120):
+    """Texts of 100 words, and copies of them that agree in exactly 0.8; other(k, n) is the n-th word that copy k has instead."""
+    rng = random.Random(5)
+    texts = [rng.sample([f"v{i}" for i in range(300)], 100) for _ in range(pairs)]
+    for k in range(pairs):
+        new = list(texts[k])
+        for n, at in enumerate(rng.sample(range(100), 20)):
+            new[at] = other(k, n)
+        texts.append(new)
+    return texts, {(k + 1, k + 1 + pairs) for k in range(pairs)}
+
+
+def pairs_of(spark, texts):
+    rows = [(i + 1, None, " ".join(t)) for i, t in enumerate(texts)]
+    return {tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id bigint, title string, body string")).collect()}
+
+
+def test_pairs_in_a_corpus_of_many_words(spark):
+    """Pairs whose differing words no other text holds are found whatever number of words the corpus has."""
+    texts, want = texts_and_copies(lambda k, n: f"only{k}x{n}")
+    texts += [[f"filler{i}x{j}" for j in range(1000)] for i in range(300)]
+    assert pairs_of(spark, texts) == want
+
+
+def test_bitmaps_never_drop_a_pair():
+    rng = np.random.default_rng(2)
+    bags = [rng.choice(400, rng.integers(20, 300), replace=False) for _ in range(120)]
+    hashed = neardup.mix(np.arange(400, dtype=np.uint64))
+    begins = np.append(0, np.cumsum([len(b) for b in bags]))
+    for bits_a, bits_b in ((256, 256), (512, 64)):
+        one, two = (neardup.parities(hashed[np.concatenate(bags)], begins, bits) for bits in (bits_a, bits_b))
+        x, y = neardup.close(one, np.diff(begins), two, np.diff(begins), 1, 2)
+        alike = {(i, j) for i, a in enumerate(bags) for j, b in enumerate(bags) if 4 * len(np.intersect1d(a, b)) >= len(a) + len(b)}
+        assert alike <= set(zip(x.tolist(), y.tolist()))
+
+
+def test_blocks_ascend_by_size():
+    plan = neardup.plan_blocks({20: 10, 21: 2040, 22: 5000, 23: 3, 5000: 1, 300: 2048, 301: 1})
+    assert [n for n, _, _ in plan] == [20, 21, 22, 23, 300, 301, 5000]
+    for (n, base, parts), (m, after, _) in zip(plan, plan[1:]):
+        assert after in (base + parts - 1, base + parts) and (neardup.width(n) == neardup.width(m) or after == base + parts)
+    assert dict((n, p) for n, _, p in plan)[22] == 3

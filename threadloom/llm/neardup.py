@@ -1,16 +1,15 @@
-"""Near-duplicate records with small edits (problem 4) by covering locality-sensitive hashing.
+"""Near-duplicate records with small edits (problem 4) by an exact join on parity bitmaps.
 
 A record is the bag of its words; its elements are (word, occurrence), so the shared part of two bags is a plain set
-intersection whatever the words' order. Each bag gets 64 coordinates by consistent weighted sampling, where rarer
-elements weigh more; two bags agree in a coordinate with the probability of their weighted similarity. The coordinates
-form eight parts of eight. In each part the fifteen masks are the code words of the first-order Reed-Muller code: for
-any three coordinates some mask avoids them all, so every pair that differs in at most three of a part's eight
-coordinates collides in one of its tables. Candidates that agree in at least AGREE of all coordinates, a quarter, are
-verified exactly on their bags; together the radius is: three of eight in some part, and three quarters of all. Equal bags are one class throughout; no bucket is capped: keys of two
-classes give their pair directly, larger keys are joined with themselves.
-
-Weights come from counts of elements over all records in a table of fixed size (ELEMENT_BUCKETS), which is all the
-driver ever gets. Null texts are empty; records with fewer than `least` body words take no part; rows with one id are
+intersection whatever the words' order. A bag's bitmap holds, for each bit, whether the number of its elements filed
+under that bit is odd. What two bags share cancels in the exclusive or of their bitmaps, so the bits left are never more
+than the elements they do not share: a pair with more bits than its sizes allow is no near duplicate, and every other
+pair is verified on its bags. Nothing is sampled or weighed, so every pair is found, whatever the words and the corpus.
+Equal bags are one class throughout.
+
+All pairs of classes whose sizes allow the similarity are compared, block by block, 2048 classes to a block at most: the
+work is quadratic in the classes, at some nanoseconds a pair. Shuffled rows are one per class; the driver gets the
+histogram of sizes. Null texts are empty; records with fewer than `least` body words take no part; rows with one id are
 one record; an empty table gives no pairs.
 """
 
@@ -29,10 +28,13 @@ from threadloom.functions.text import visible_text, words
 from threadloom.llm.spans import SEED, mix, salt
 from threadloom.session import materialize
 
+# of masks() and signatures(), which no query uses
 ELEMENT_BUCKETS = 1 << 18
 PARTS, WIDTH, TABLES = 8, 8, 15
 COORDINATES = PARTS * WIDTH
-AGREE = 16
+
+BLOCK, BLOCK_BITS = 2048, 1 << 21  # classes of a block, and bits of all its bitmaps, at most
+ROWS = 64  # of a block compared with another block at a time
 
 
 @cache
@@ -82,22 +84,6 @@ def bag_table(df: DataFrame, least: int) -> DataFrame:
     return df.select("id", "title", "body").mapInArrow(run, "id bigint, cls bigint, bag array<bigint>")
 
 
-def element_counts(rows: DataFrame) -> np.ndarray:
-    """In how many records each bucket of elements occurs, over all records; the table's size is fixed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ELEMENT_BUCKETS, np.int64)
-        for b in batches:
-            counts += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(ELEMENT_BUCKETS), minlength=ELEMENT_BUCKETS).astype(np.int64)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
-
-    found = rows.select("bag").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(ELEMENT_BUCKETS, np.int64)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
 def signatures(elements: np.ndarray, begins: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
     """COORDINATES x records, 16 bits each. Every bag has at least one element."""
     distinct, at = np.unique(elements, return_inverse=True)
@@ -111,71 +97,111 @@ def signatures(elements: np.ndarray, begins: np.ndarray, counts: np.ndarray, tot
     return out
 
 
-def signature_table(rows: DataFrame, counts: np.ndarray, total: int) -> DataFrame:
-    """(cls, n, signature), one row per class."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)  # ELEMENT_BUCKETS whole numbers: 2 MB
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                lists = b.column(1)
-                begins = lists.offsets.to_numpy().astype(np.int64)
-                sig = signatures(lists.flatten().to_numpy().view(np.uint64), begins - begins[0], shared.value, total)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(begins).astype(np.int32)), pa.array([r.tobytes() for r in np.ascontiguousarray(sig.T)], pa.binary())], ["cls", "n", "signature"])
-
-    return rows.select("cls", "bag").mapInArrow(run, "cls bigint, n int, signature binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
+def width(n: int) -> int:
+    """Bits of the bitmap of a bag of n elements: a power of two, so that wider bitmaps fold to narrower ones."""
+    return max(64, 1 << (3 * n // 2 - 1).bit_length())
 
 
-def table_keys(signature: np.ndarray) -> np.ndarray:
-    """records x (PARTS * TABLES) keys of signatures (records x COORDINATES)."""
-    odd = mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * SEED) | np.uint64(1)
-    out = []
-    for p in range(PARTS):
-        part = mix((signature[:, p * WIDTH : (p + 1) * WIDTH].astype(np.uint64) + np.uint64(1)) * odd)
-        for t, mask in enumerate(masks()):
-            out.append(mix(part[:, mask].sum(axis=1, dtype=np.uint64) + salt(p * TABLES + t + 1)))
-    return np.stack(out, axis=1)
+def parities(elements: np.ndarray, begins: np.ndarray, bits: int) -> np.ndarray:
+    """records x (bits / 64): the bits under which an odd number of a record's elements is filed."""
+    records = len(begins) - 1
+    at = np.repeat(np.arange(records), np.diff(begins)) * bits + (elements & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=records * bits) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(records, bits // 64)
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+def bitmap_table(rows: DataFrame) -> DataFrame:
+    """(cls, n, bits), one row per class."""
 
-
-def key_table(sig: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = table_keys(_unpack(b.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1])))], ["key", "cls"])
-
-    return sig.select("cls", "signature").mapInArrow(run, "key bigint, cls bigint")
+                sizes = np.diff(b.column(1).offsets.to_numpy())
+                widths = np.array([width(int(n)) for n in sizes])
+                for bits in np.unique(widths).tolist():
+                    own, step = np.flatnonzero(widths == bits), max(1, (1 << 22) // bits)
+                    for i in range(0, len(own), step):
+                        some = b.take(pa.array(own[i : i + step]))
+                        begins = some.column(1).offsets.to_numpy().astype(np.int64)
+                        maps = parities(some.column(1).flatten().to_numpy().view(np.uint64), begins - begins[0], bits)
+                        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(begins).astype(np.int32)), pa.array([m.tobytes() for m in maps], pa.binary())], ["cls", "n", "bits"])
+
+    return rows.select("cls", "bag").mapInArrow(run, "cls bigint, n int, bits binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+
+def plan_blocks(histogram: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(n, base, parts) by size: its classes are spread over the blocks base, base + 1 ... Blocks ascend by size and have one width each."""
+    out, block, held, bits = [], -1, 0, 0
+    for n, k in sorted(histogram.items()):
+        room = max(1, min(BLOCK, BLOCK_BITS // width(n)))
+        if width(n) != bits or held + k > room:
+            block, held, bits = block + 1, 0, width(n)
+        parts = -(-k // room)
+        out.append((n, block, parts))
+        block, held = block + parts - 1, room if parts > 1 else held + k
+    return out
 
 
-def candidates(sig: DataFrame, share_num: int, share_den: int) -> DataFrame:
-    """(a, b) classes that share a table's key, agree in AGREE coordinates and whose sizes allow the similarity."""
-    keys = key_table(sig)
-    met = materialize(keys.groupBy("key").agg(F.count("*").alias("k"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("k > 1"), "met")
-    rest = keys.join(met.where("k > 2").select("key"), "key", "left_semi")
-    rest = materialize(rest, "large-keys")
-    larger = rest.select("key", F.col("cls").alias("a")).join(rest.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = met.where("k = 2").select("a", "b").unionByName(larger).distinct()
-    of = lambda x: sig.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(2 * F.least("n_a", "n_b") * share_den >= share_num * (F.col("n_a") + F.col("n_b")))
+def block_table(maps: DataFrame) -> DataFrame:
+    """(block, low, high, cls, n, bits): one row per block, with its least and largest size."""
+    plan = plan_blocks({r["n"]: r["count"] for r in maps.groupBy("n").count().collect()})
+    of_size = maps.sparkSession.createDataFrame(plan, "n int, base int, parts int")
+    count = max((base + parts for _, base, parts in plan), default=1)
+    placed = maps.join(of_size, "n").select((F.col("base") + F.pmod(F.xxhash64("cls"), F.col("parts"))).cast("int").alias("block"), F.struct("cls", "n", "bits").alias("one"))
+    whole = placed.repartition(min(count, 64), "block").groupBy("block").agg(F.collect_list("one").alias("all"))
+    return whole.select("block", F.array_min("all.n").alias("low"), F.array_max("all.n").alias("high"), F.col("all.cls").alias("cls"), F.col("all.n").alias("n"), F.col("all.bits").alias("bits"))
+
+
+def fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """The same bags' bitmaps of fewer bits."""
+    while maps.shape[1] > words:
+        maps = maps[:, : maps.shape[1] // 2] ^ maps[:, maps.shape[1] // 2 :]
+    return maps
+
+
+def close(one: np.ndarray, sizes: np.ndarray, two: np.ndarray, others: np.ndarray, share_num: int, share_den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two tables of bitmaps that may have the similarity. None that has it is left out."""
+    words = min(one.shape[1], two.shape[1])
+    one, two = fold(one, words), np.ascontiguousarray(fold(two, words).T)
+    sizes, others = sizes.astype(np.int64), others.astype(np.int64)
+    found = []
+    for i in range(0, len(one), ROWS):
+        part = one[i : i + ROWS]
+        apart = np.zeros((len(part), two.shape[1]), np.int32)
+        for w in range(words):
+            apart += np.bitwise_count(part[:, w, None] ^ two[w])
+        limit = ((share_den - share_num) * (sizes[i : i + ROWS, None] + others) // share_den).astype(np.int32)
+        x, y = np.nonzero(apart <= limit)
+        found.append((x + i, y))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def candidates(maps: DataFrame, share_num: int, share_den: int) -> DataFrame:
+    """(a, b) classes whose sizes and bitmaps allow the similarity. Blocks meet in a product that reads them again: nothing is shuffled."""
+    blocks = materialize(block_table(maps), "blocks")
+    of = lambda x: blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in blocks.columns])
+    allowed = (F.col("block_a") <= F.col("block_b")) & (2 * share_den * F.col("high_a").cast("long") >= share_num * (F.col("high_a").cast("long") + F.col("low_b")))
+    cells = of("a").hint("shuffle_replicate_nl").join(of("b").hint("shuffle_replicate_nl"), allowed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = lambda b, k, i: [b.column(k + j)[i].values for j in range(3)]
         for b in batches:
-            if b.num_rows:
-                agree = (_unpack(b.column(2)) == _unpack(b.column(3))).sum(axis=1) >= AGREE
-                yield b.select([0, 1]).filter(pa.array(agree))
+            for i in range(b.num_rows):
+                (cls_a, n_a, bits_a), (cls_b, n_b, bits_b) = side(b, 2, i), side(b, 5, i)
+                table = lambda bits: np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), -1)
+                x, y = close(table(bits_a), n_a.to_numpy(), table(bits_b), n_b.to_numpy(), share_num, share_den)
+                if b.column(0)[i] == b.column(1)[i]:
+                    x, y = x[x < y], y[x < y]
+                yield pa.RecordBatch.from_arrays([cls_a.take(pa.array(x)), cls_b.take(pa.array(y))], ["a", "b"])
 
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+    return cells.select("block_a", "block_b", "cls_a", "n_a", "bits_a", "cls_b", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_pairs(df: DataFrame, least: int = 20, share_num: int = 4, share_den: int = 5) -> DataFrame:
     """(id_a, id_b), smaller first: records of df(id, title, body) with 2 * common / (words of a + words of b) >= share."""
     rows = materialize(bag_table(df, least), "bags")
-    sig = materialize(signature_table(rows, element_counts(rows), max(rows.count(), 1)), "signatures")
-    near = materialize(candidates(sig, share_num, share_den), "candidates")
+    maps = materialize(bitmap_table(rows), "bitmaps")
+    near = materialize(candidates(maps, share_num, share_den), "candidates")
     needed = materialize(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "needed")
     own = rows.select("cls", "bag").join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("bag").alias("bag"))
     own = materialize(own, "needed-bags")
