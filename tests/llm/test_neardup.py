@@ -96,6 +96,13 @@ def test_pairs_in_a_corpus_of_many_words(spark):
     assert pairs_of(spark, texts) == want
 
 
+def test_pairs_that_differ_in_rare_words(spark):
+    """Pairs of exactly 0.8 are found if the words that differ are rare but stand in another text too."""
+    texts, want = texts_and_copies(lambda k, n: f"rare{k}x{n}")
+    texts += [[f"rare{k}x{n}" for n in range(20)] + [f"own{k}x{n}" for n in range(30)] for k in range(120)]
+    assert pairs_of(spark, texts) == want
+
+
 def test_bitmaps_never_drop_a_pair():
     rng = np.random.default_rng(2)
     bags = [rng.choice(400, rng.integers(20, 300), replace=False) for _ in range(120)]
