@@ -84,8 +84,8 @@ def texts_and_copies(other, pairs=120):
     return texts, {(k + 1, k + 1 + pairs) for k in range(pairs)}
 
 
-def pairs_of(spark, texts):
-    rows = [(i + 1, None, " ".join(t)) for i, t in enumerate(texts)]
+def pairs_of(spark, texts, repeat=1):
+    rows = [(i + 1, None, " ".join(t)) for i, t in enumerate(texts)] * repeat
     return {tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id bigint, title string, body string")).collect()}
 
 
@@ -103,6 +103,11 @@ def test_pairs_that_differ_in_rare_words(spark):
     assert pairs_of(spark, texts) == want
 
 
+def test_repeated_rows_change_nothing(spark):
+    texts, want = texts_and_copies(lambda k, n: f"only{k}x{n}")
+    assert pairs_of(spark, texts, repeat=3) == want
+
+
 def test_bitmaps_never_drop_a_pair():
     rng = np.random.default_rng(2)
     bags = [rng.choice(400, rng.integers(20, 300), replace=False) for _ in range(120)]
