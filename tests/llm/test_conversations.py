@@ -32,3 +32,14 @@ def test_parts_of_a_conversation_add_up(spark):
     part = "conversation_id bigint, has_question tinyint, empty_question tinyint, has_answer tinyint, shown_answer tinyint, undated tinyint, question_at string, reply_at string"
     closed = spark.createDataFrame([(1, 1, 0, 0, 0, 0, "2024-01-01T00:00:00", None), (1, 0, 0, 1, 1, 0, None, "2024-01-02T00:00:00"), (2, 0, 0, 1, 1, 0, None, "2024-01-02T00:00:00"), (0, 0, 0, 0, 0, 0, None, None)], part)
     assert [tuple(r) for r in conversations.validate(closed).collect()] == [(2, "no_question")]
+
+
+def test_turns_query_holds_the_messages(spark, make, tmp_path):
+    from threadloom.llm.queries import queries
+
+    at = dict(creation_date="2024-01-01T00:00:00", loaded_at=T(1))
+    q, a = dict(at, id="1", post_type_id="1", body="<p>Why?</p>"), dict(at, id="2", post_type_id="2", parent_id="1", body="<p>So.</p>")
+    make["posts"](q, q, a).write.parquet(str(tmp_path / "posts.parquet"))
+    make["comments"](dict(at, id="1", post_id="2", text="Thanks"), dict(at, id="2", post_id="1", text=None)).write.parquet(str(tmp_path / "comments.parquet"))
+    got = [(r["turn"], r["message_id"], r["source"], r["text"]) for r in queries()["p6_turns"](spark, str(tmp_path)).orderBy("turn").collect()]
+    assert got == [(1, 1, "posts", "<p>Why?</p>"), (2, 2, "posts", "<p>So.</p>"), (3, 1, "comments", "Thanks"), (4, 2, "comments", None)]

@@ -126,11 +126,11 @@ def turns(posts: DataFrame, comments: DataFrame, broken_ones: DataFrame) -> Data
     """
     p = (
         posts.where("post_type_id in ('1', '2')")
-        .select(positive_id("id").alias("message_id"), F.when(F.col("post_type_id") == "1", positive_id("id")).otherwise(reference_number("parent_id")).alias("conversation_id"), F.col("post_type_id").cast("int").alias("kind"), F.col("owner_user_id").alias("user"), instant_text("creation_date").alias("said_at"), F.col("body").alias("text"))
+        .select(positive_id("id").alias("message_id"), F.when(F.col("post_type_id") == "1", positive_id("id")).otherwise(reference_number("parent_id")).alias("conversation_id"), F.col("post_type_id").cast("int").alias("kind"), F.col("owner_user_id").alias("user"), instant_text("creation_date").alias("said_at"))
         .where("message_id is not null and conversation_id is not null")
     )
     keys = p.select(F.col("message_id").alias("post_id"), "conversation_id").distinct()
-    c = comments.select(positive_id("id").alias("message_id"), reference_number("post_id").alias("post_id"), F.lit(3).alias("kind"), F.col("user_id").alias("user"), instant_text("creation_date").alias("said_at"), "text").where("message_id is not null").join(keys, "post_id").drop("post_id")
+    c = comments.select(positive_id("id").alias("message_id"), reference_number("post_id").alias("post_id"), F.lit(3).alias("kind"), F.col("user_id").alias("user"), instant_text("creation_date").alias("said_at")).where("message_id is not null").join(keys, "post_id").drop("post_id")
     bad = broken_ones.select("conversation_id").distinct()
     sound = p.where("kind = 1").select("conversation_id").distinct().join(bad, "conversation_id", "left_anti")
     messages = p.unionByName(c).join(sound, "conversation_id", "left_semi").dropDuplicates(["kind", "message_id"])
@@ -140,7 +140,10 @@ def turns(posts: DataFrame, comments: DataFrame, broken_ones: DataFrame) -> Data
     placed = materialize(messages.withColumn("day", day).withColumn("place", within), "turns")
     earlier = F.sum("n").over(Window.partitionBy("conversation_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
     days = placed.groupBy("conversation_id", "day").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(earlier, F.lit(0))).drop("n")
+    # texts join last, so that they are shuffled once
+    said = posts.where("post_type_id in ('1', '2')").select(F.col("post_type_id").cast("int").alias("kind"), positive_id("id").alias("message_id"), F.col("body").alias("text"))
+    said = said.unionByName(comments.select(F.lit(3).alias("kind"), positive_id("id").alias("message_id"), "text")).where("message_id is not null").dropDuplicates(["kind", "message_id"])
     role = F.when((F.col("kind") == 1) | (F.col("user") == F.col("asker")), "asker").when(F.col("kind") == 2, "answerer").otherwise("commenter")
-    return placed.join(days, ["conversation_id", "day"]).join(asker, "conversation_id").select(
+    return placed.join(days, ["conversation_id", "day"]).join(asker, "conversation_id").join(said, ["kind", "message_id"]).select(
         "conversation_id", (F.col("before") + F.col("place")).alias("turn"), role.alias("role"), "message_id", F.when(F.col("kind") == 3, "comments").otherwise("posts").alias("source"), "said_at", "text"
     )

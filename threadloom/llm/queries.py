@@ -55,7 +55,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_turns(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.turns(table(spark, d, "posts"), table(spark, d, "comments"), p6_found(spark, d)).drop("text")
+    return conversations.turns(table(spark, d, "posts"), table(spark, d, "comments"), p6_found(spark, d))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
