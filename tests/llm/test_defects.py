@@ -35,3 +35,9 @@ def test_pairs(spark, make):
     posts = make["posts"](q, q, dict(id="2", post_type_id="2", parent_id=" 01", body=None), dict(id="2", post_type_id="2", parent_id=" 01", body=None), dict(id="3", post_type_id="2", parent_id="1", body="<p>Restart the node.</p>"), dict(id="4", post_type_id="2", parent_id="9", body=None), dict(id="5", post_type_id="2", body=None), dict(id="6", post_type_id="2", parent_id="7", body="<p>Fine.</p>"), dict(id="7", post_type_id="1"))
     assert [tuple(r) for r in broken_pairs(posts).collect()] == [(2, "empty")]
     assert broken_pairs(posts.where("false")).count() == 0
+
+
+def test_a_long_refusal_is_one():
+    wordy = "I'm sorry, but I can't help with this request. Please consult a professional about it. Thank you for your understanding and patience. I hope you understand. If you have any other questions, feel free to ask. "
+    assert is_refusal(wordy * 3) and defect(f"<p>{wordy * 3}</p>", PROMPT) == "refusal"
+    assert not is_refusal(wordy * 3 + "Set the flag to 3.")

@@ -86,7 +86,6 @@ PLEASANTRIES = [
 ]
 PLEASANTRY = re.compile("|".join(f"(?:{r})" for r in PLEASANTRIES))
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
-LONGEST_REFUSAL = 450  # characters; a refusal that gives nothing else is no longer
 
 #: Frequent function words by language, without those that several of these languages share.
 FUNCTION_WORDS = {
@@ -125,15 +124,13 @@ CLOSERS = "\"'”’»)]}›」』*_`"
 SIGN_OFF = re.compile(r"(?:hth|hope (?:that|this|it)\b.*|good luck\b.*|just my (?:two|2) cents|my (?:two|2) cents|cheers.*|thanks.*|thank you.*|regards.*|best regards.*|kind regards.*|best|greetings.*|saludos.*|suerte|buena suerte|gracias.*|espero que .*|viel (?:glück|erfolg)|gruß.*|grüße.*|viele grüße.*|mfg|danke.*|hoffe,? .*|bonne chance|merci.*|edit|update|done|ok|yes|no|see above|ymmv|afaik|imho|fwiw|good luck|enjoy|happy \w+)", re.IGNORECASE)
 
 
-def sentences(text: str) -> list[str]:
+def sentences(text: str) -> Iterator[str]:
     """Sentences as lower-case words parted by single blanks."""
     plain = text.replace("’", "'")
-    return [x for s in SENTENCE_END.split(plain) if (x := " ".join(words(s)))]
+    return (x for s in SENTENCE_END.split(plain) if (x := " ".join(words(s))))
 
 
 def is_refusal(text: str) -> bool:
-    if len(text) > LONGEST_REFUSAL:
-        return False
     found = False
     for s in sentences(text):
         if REFUSAL.fullmatch(s):
