@@ -47,3 +47,12 @@ def test_records(make):
     out = {r["record_id"]: r["text"] for r in pii.redacted(posts, comments).collect()}
     assert out == {1: "I met [NAME] at the desk and we fixed it.", 5: "Ring [PHONE] and ask for the night shift.", 6: ""}
     assert pii.found(posts.where("false"), comments.where("false")).count() == 0
+
+
+def test_items_of_a_very_long_line(finder):
+    """A line of several thousand tokens, all of it dense in items, is decoded as its parts are."""
+    items = [f"anna.berg{i}@example.org" for i in range(10, 600)]
+    for lead in ("", "a ", "a b "):
+        text = lead + ", ".join(items)
+        (found,) = finder.find([text])
+        assert [text[a:b] for a, b, kind in found if kind == "email"] == items and "@" not in pii.redact(text, found)

@@ -33,7 +33,6 @@ GLUE = 4  # (no space before this token) + 2 * (no space before the next)
 NEVER = -1e4
 CHUNK = 1_000_000
 REMEMBERED = 300_000
-LONGEST = 400  # tokens of a line decoded together; longer lines are cut at blanks between sentences or anywhere else
 
 _SETS = {"given": {g.lower() for g in GIVEN}, "title": {t.lower().rstrip(".") for t in TITLES}}
 _STREET = re.compile(r"(?:stra(?:ß|ss)e|str|weg|gasse|platz|allee)$")
@@ -256,6 +255,8 @@ def viterbi(scores: np.ndarray, real: np.ndarray, moves: np.ndarray, first: np.n
         on = real[:, t]
         best = np.where(on[:, None], step, best)
         came[t][~on] = same
+        if t % 256 == 0:  # sums of long lines would outgrow the digits that tell labels apart
+            best -= best.max(axis=1, keepdims=True)
     out = np.zeros((lines, length), np.int64)
     out[:, -1] = best.argmax(1)
     for t in range(length - 1, 0, -1):
@@ -300,8 +301,7 @@ class Finder:
         onward = np.maximum.accumulate((total - apart)[::-1])[::-1] + apart - (total - bound)
         hopeful = upto + onward - bound > 0
         change = np.flatnonzero(np.diff(np.concatenate([[0], hopeful.astype(np.int8), [0]])) | np.concatenate([fresh & hopeful & np.concatenate([[False], hopeful[:-1]]), [False]]))
-        marks = [x for a, b in zip(change, change[1:]) if hopeful[a] for x in range(a, b, LONGEST)]
-        lines = [(a, min(a + LONGEST, int(b))) for a, b in zip(marks, self._ends(marks, change))]
+        lines = [(int(a), int(b)) for a, b in zip(change, change[1:]) if hopeful[a]]  # whole, however long: no item is split
         lines.sort(key=lambda ab: ab[1] - ab[0])
         i = 0
         while i < len(lines):
@@ -316,11 +316,6 @@ class Finder:
             found.sort()
         return out
 
-    @staticmethod
-    def _ends(marks: list[int], change: np.ndarray) -> np.ndarray:
-        """The end of the run that each mark is in."""
-        return change[np.searchsorted(change, np.array(marks, np.int64), side="right")] if marks else change[:0]
-
     def _decode(self, tokens: Tokens, rows: np.ndarray, lines: list[tuple[int, int]], texts: list[str], out: list) -> None:
         length = lines[-1][1] - lines[-1][0]
         first = np.array([a for a, _ in lines])
