@@ -1,22 +1,27 @@
-"""Near-duplicate records with small edits (problem 4) by an exact join on parity bitmaps.
+"""Near-duplicate records with small edits (problem 4) by covering hashing of sampled elements.
 
 A record is the bag of its words; its elements are (word, occurrence), so the shared part of two bags is a plain set
-intersection whatever the words' order. A bag's bitmap holds, for each bit, whether the number of its elements filed
-under that bit is odd. What two bags share cancels in the exclusive or of their bitmaps, so the bits left are never more
-than the elements they do not share: a pair with more bits than its sizes allow is no near duplicate, and every other
-pair is verified on its bags. Nothing is sampled or weighed, so every pair is found, whatever the words and the corpus.
-Equal bags are one class throughout.
-
-All pairs of classes whose sizes allow the similarity are compared, block by block, 2048 classes to a block at most: the
-work is quadratic in the classes, at some nanoseconds a pair. Shuffled rows are one per class; the driver gets the
-histogram of sizes. Null texts are empty; records with fewer than `least` body words take no part; rows with one id are
-one record; an empty table gives no pairs.
+intersection whatever the words' order. Equal bags are one class throughout.
+
+* Sampling: each coordinate is the least hash of a bag's elements under its own hash function, so two bags agree in a
+  coordinate with their Jaccard similarity, whatever their words are; no word is weighed and no count of the corpus
+  enters, so recall is the same at every size.
+* Covering: a group has COLUMNS x ORDER coordinates, and one mask for each line of the affine plane of that order, which
+  holds one coordinate of each column. Two lines meet in one coordinate at most, and fewer than ORDER coordinates cannot
+  touch all lines: two bags that differ in at most ORDER - 1 coordinates of a group agree in some mask and collide.
+* Loss: a pair at the threshold exactly (0.8, which is Jaccard 2/3) misses both groups with probability 0.0005, at 0.82
+  with 0.0001, at 0.86 with 0.000002. `missed` computes this; `groups` more groups lower it further.
+* Checks of those that collide drop no true pair: first sizes and a 256-bit parity sketch (what two bags share cancels in
+  the exclusive or, so more bits than the sizes allow mean a lower similarity), then the bags themselves.
+
+A bucket of more than CROWDED classes is split into chunks, and every pair of chunks is a task's cell of its own. Null
+texts are empty; records with fewer than `least` body words take no part; rows with one id are one record; an empty
+table gives no pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +31,24 @@ from pyspark.sql import functions as F
 from threadloom.functions.ids import positive_id
 from threadloom.functions.text import visible_text, words
 from threadloom.llm.spans import SEED, mix, salt
-from threadloom.session import materialize
+from threadloom.session import discard, materialize
 
-# of masks() and signatures(), which no query uses
-ELEMENT_BUCKETS = 1 << 18
-PARTS, WIDTH, TABLES = 8, 8, 15
-COORDINATES = PARTS * WIDTH
+ORDER, COLUMNS, GROUPS = 7, 5, 2  # ORDER is a prime, at least COLUMNS
+SKETCH = 256
+CROWDED = 4096
+SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
+KEY_ROWS = "key bigint, cls bigint, n int, " + ", ".join(f"{s} bigint" for s in SKETCHES)
 
-BLOCK, BLOCK_BITS = 2048, 1 << 21  # classes of a block, and bits of all its bitmaps, at most
-ROWS = 64  # of a block compared with another block at a time
 
-
-@cache
 def masks() -> np.ndarray:
-    """TABLES x WIDTH: mask v holds coordinate i where the code word of v has a one."""
-    return np.array([[bin(v & (8 | i)).count("1") & 1 for i in range(WIDTH)] for v in range(1, 16)], bool)
+    """Lines x COLUMNS: the coordinates of each line y = m x + b over the columns x."""
+    return np.array([[x * ORDER + (m * x + b) % ORDER for x in range(COLUMNS)] for m in range(ORDER) for b in range(ORDER)])
+
+
+def missed(similarity: float, groups: int = GROUPS, trials: int = 100_000, seed: int = 0) -> float:
+    """Estimated probability that a pair of this similarity collides in no mask."""
+    agree = np.random.default_rng(seed).random((trials, ORDER * COLUMNS)) < similarity / (2 - similarity)
+    return float((~agree[:, masks()].all(axis=2).any(axis=1)).mean() ** groups)
 
 
 def bags(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,25 +92,20 @@ def bag_table(df: DataFrame, least: int) -> DataFrame:
     return df.select("id", "title", "body").mapInArrow(run, "id bigint, cls bigint, bag array<bigint>")
 
 
-def signatures(elements: np.ndarray, begins: np.ndarray, counts: np.ndarray, total: int) -> np.ndarray:
-    """COORDINATES x records, 16 bits each. Every bag has at least one element."""
-    distinct, at = np.unique(elements, return_inverse=True)
-    seen = np.maximum(counts[distinct % np.uint64(ELEMENT_BUCKETS)], 1)
-    weight = np.where(seen > 1, np.log1p(total / seen) ** 3, 1e-30)  # what no other record holds can match nothing
-    out = np.empty((COORDINATES, len(begins) - 1), np.uint16)
-    for c in range(COORDINATES):
-        uniform = ((mix(distinct + salt(c + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-        least = np.minimum.reduceat((-np.log(uniform) / weight)[at], begins[:-1])
-        out[c] = (mix(least.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
-    return out
-
+def keys(elements: np.ndarray, begins: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """records x masks: the key under which each mask of each group files a record. Every bag has at least one element."""
+    lines, out = masks(), []
+    for g in range(groups):
+        least = np.array([np.minimum.reduceat(mix(elements + salt(g * ORDER * COLUMNS + c + 1)), begins[:-1]) for c in range(ORDER * COLUMNS)])
+        for number, line in enumerate(lines):
+            key = np.full(len(begins) - 1, salt(g * len(lines) + number + 1))
+            for c in line:
+                key = mix(key ^ least[c]) + SEED
+            out.append(key)
+    return np.array(out).T
 
-def width(n: int) -> int:
-    """Bits of the bitmap of a bag of n elements: a power of two, so that wider bitmaps fold to narrower ones."""
-    return max(64, 1 << (3 * n // 2 - 1).bit_length())
 
-
-def parities(elements: np.ndarray, begins: np.ndarray, bits: int) -> np.ndarray:
+def parities(elements: np.ndarray, begins: np.ndarray, bits: int = SKETCH) -> np.ndarray:
     """records x (bits / 64): the bits under which an odd number of a record's elements is filed."""
     records = len(begins) - 1
     at = np.repeat(np.arange(records), np.diff(begins)) * bits + (elements & np.uint64(bits - 1)).astype(np.int64)
@@ -110,103 +113,128 @@ def parities(elements: np.ndarray, begins: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64).reshape(records, bits // 64)
 
 
-def bitmap_table(rows: DataFrame) -> DataFrame:
-    """(cls, n, bits), one row per class."""
+def key_table(rows: DataFrame, groups: int) -> DataFrame:
+    """KEY_ROWS of rows(id, cls, bag): one row per class and mask and input partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            if b.num_rows:
-                sizes = np.diff(b.column(1).offsets.to_numpy())
-                widths = np.array([width(int(n)) for n in sizes])
-                for bits in np.unique(widths).tolist():
-                    own, step = np.flatnonzero(widths == bits), max(1, (1 << 22) // bits)
-                    for i in range(0, len(own), step):
-                        some = b.take(pa.array(own[i : i + step]))
-                        begins = some.column(1).offsets.to_numpy().astype(np.int64)
-                        maps = parities(some.column(1).flatten().to_numpy().view(np.uint64), begins - begins[0], bits)
-                        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(begins).astype(np.int32)), pa.array([m.tobytes() for m in maps], pa.binary())], ["cls", "n", "bits"])
-
-    return rows.select("cls", "bag").mapInArrow(run, "cls bigint, n int, bits binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-
-
-def plan_blocks(histogram: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(n, base, parts) by size: its classes are spread over the blocks base, base + 1 ... Blocks ascend by size and have one width each."""
-    out, block, held, bits = [], -1, 0, 0
-    for n, k in sorted(histogram.items()):
-        room = max(1, min(BLOCK, BLOCK_BITS // width(n)))
-        if width(n) != bits or held + k > room:
-            block, held, bits = block + 1, 0, width(n)
-        parts = -(-k // room)
-        out.append((n, block, parts))
-        block, held = block + parts - 1, room if parts > 1 else held + k
-    return out
-
-
-def block_table(maps: DataFrame) -> DataFrame:
-    """(block, low, high, cls, n, bits): one row per block, with its least and largest size."""
-    plan = plan_blocks({r["n"]: r["count"] for r in maps.groupBy("n").count().collect()})
-    of_size = maps.sparkSession.createDataFrame(plan, "n int, base int, parts int")
-    count = max((base + parts for _, base, parts in plan), default=1)
-    placed = maps.join(of_size, "n").select((F.col("base") + F.pmod(F.xxhash64("cls"), F.col("parts"))).cast("int").alias("block"), F.struct("cls", "n", "bits").alias("one"))
-    whole = placed.repartition(min(count, 64), "block").groupBy("block").agg(F.collect_list("one").alias("all"))
-    return whole.select("block", F.array_min("all.n").alias("low"), F.array_max("all.n").alias("high"), F.col("all.cls").alias("cls"), F.col("all.n").alias("n"), F.col("all.bits").alias("bits"))
-
-
-def fold(maps: np.ndarray, words: int) -> np.ndarray:
-    """The same bags' bitmaps of fewer bits."""
-    while maps.shape[1] > words:
-        maps = maps[:, : maps.shape[1] // 2] ^ maps[:, maps.shape[1] // 2 :]
-    return maps
-
-
-def close(one: np.ndarray, sizes: np.ndarray, two: np.ndarray, others: np.ndarray, share_num: int, share_den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two tables of bitmaps that may have the similarity. None that has it is left out."""
-    words = min(one.shape[1], two.shape[1])
-    one, two = fold(one, words), np.ascontiguousarray(fold(two, words).T)
-    sizes, others = sizes.astype(np.int64), others.astype(np.int64)
-    found = []
-    for i in range(0, len(one), ROWS):
-        part = one[i : i + ROWS]
-        apart = np.zeros((len(part), two.shape[1]), np.int32)
-        for w in range(words):
-            apart += np.bitwise_count(part[:, w, None] ^ two[w])
-        limit = ((share_den - share_num) * (sizes[i : i + ROWS, None] + others) // share_den).astype(np.int32)
-        x, y = np.nonzero(apart <= limit)
-        found.append((x + i, y))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-
-def candidates(maps: DataFrame, share_num: int, share_den: int) -> DataFrame:
-    """(a, b) classes whose sizes and bitmaps allow the similarity. Blocks meet in a product that reads them again: nothing is shuffled."""
-    blocks = materialize(block_table(maps), "blocks")
-    of = lambda x: blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in blocks.columns])
-    allowed = (F.col("block_a") <= F.col("block_b")) & (2 * share_den * F.col("high_a").cast("long") >= share_num * (F.col("high_a").cast("long") + F.col("low_b")))
-    cells = of("a").hint("shuffle_replicate_nl").join(of("b").hint("shuffle_replicate_nl"), allowed)
+            fresh = [i for i, c in enumerate(b.column(0).to_pylist()) if not (c in seen or seen.add(c))]
+            for i in range(0, len(fresh), 256):
+                some = b.take(pa.array(fresh[i : i + 256]))
+                elements, begins = some.column(1).flatten().to_numpy().view(np.uint64), some.column(1).offsets.to_numpy().astype(np.int64)
+                begins = begins - begins[0]
+                filed, sketch = keys(elements, begins, groups), parities(elements, begins)
+                each = filed.shape[1]
+                columns = [filed.ravel().view(np.int64), np.repeat(some.column(0).to_numpy(), each), np.repeat(np.diff(begins).astype(np.int32), each)]
+                columns += [np.repeat(np.ascontiguousarray(s).view(np.int64), each) for s in sketch.T]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cls", "n", *SKETCHES])
+
+    return rows.select("cls", "bag").mapInArrow(run, KEY_ROWS)
+
+
+def close(n: np.ndarray, sketch: np.ndarray, ends: np.ndarray, share_num: int, share_den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket (row i's bucket ends before ends[i]) whose sizes and sketches allow the similarity."""
+    n, at, found = n.astype(np.int64), np.arange(len(n)), []
+    step = 0
+    while len(at):
+        step += 1
+        at = at[at + step < ends[at]]
+        other = at + step
+        both = n[at] + n[other]
+        fits = 2 * share_den * np.minimum(n[at], n[other]) >= share_num * both
+        x, y, both = at[fits], other[fits], both[fits]
+        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+        alike = share_den * apart <= (share_den - share_num) * both
+        found.append((x[alike], y[alike]))
+    return np.concatenate([x for x, _ in found] or [at]), np.concatenate([y for _, y in found] or [at])
+
+
+def meet(rows: DataFrame, share_num: int, share_den: int, crowded: int) -> DataFrame:
+    """Of KEY_ROWS that lie together and sorted by (key, cls): (a, b) candidates, and the rows of buckets over `crowded`."""
+    names = ["a", "b", "key", "cls", "n", *SKETCHES]
+
+    def pairs(own: list[np.ndarray]) -> pa.RecordBatch:
+        key, cls, n = own[:3]
+        once = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
+        key, cls, n, sketch = key[once], cls[once], n[once], np.stack([s[once].view(np.uint64) for s in own[3:]], axis=1)  # bits of signed numbers are counted without sign
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(first, len(key)))
+        x, y = close(n, sketch, np.repeat(first + sizes, sizes), share_num, share_den)
+        both = np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], axis=1), axis=0)
+        return of(pa.array(both[:, 0]), pa.array(both[:, 1]), None)
+
+    def of(a: pa.Array | None, b: pa.Array | None, own: list[np.ndarray] | None) -> pa.RecordBatch:
+        count, kinds = len(own[0]) if own else len(a), [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(SKETCHES)]
+        rest = [pa.array(c) for c in own] if own else [pa.nulls(count, k) for k in kinds]
+        return pa.RecordBatch.from_arrays([a or pa.nulls(count, pa.int64()), b or pa.nulls(count, pa.int64()), *rest], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = lambda b, k, i: [b.column(k + j)[i].values for j in range(3)]
+        held: list[np.ndarray] | None = None
+        overfull = None  # the key whose rows are passed on
         for b in batches:
-            for i in range(b.num_rows):
-                (cls_a, n_a, bits_a), (cls_b, n_b, bits_b) = side(b, 2, i), side(b, 5, i)
-                table = lambda bits: np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(bits), -1)
-                x, y = close(table(bits_a), n_a.to_numpy(), table(bits_b), n_b.to_numpy(), share_num, share_den)
-                if b.column(0)[i] == b.column(1)[i]:
-                    x, y = x[x < y], y[x < y]
-                yield pa.RecordBatch.from_arrays([cls_a.take(pa.array(x)), cls_b.take(pa.array(y))], ["a", "b"])
-
-    return cells.select("block_a", "block_b", "cls_a", "n_a", "bits_a", "cls_b", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
+            if not b.num_rows:
+                continue
+            new = [c.to_numpy() for c in b.columns]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            if overfull is not None:
+                own = int(np.searchsorted(held[0], overfull, "right"))
+                if own:
+                    yield of(None, None, [c[:own] for c in held])
+                held = [c[own:] for c in held]
+                if not len(held[0]):
+                    continue
+                overfull = None
+            last = int(np.searchsorted(held[0], held[0][-1], "left"))
+            if last:
+                yield from settled([c[:last] for c in held])
+                held = [c[last:] for c in held]
+            if len(held[0]) > crowded:
+                overfull = held[0][-1]
+                yield of(None, None, held)
+                held = [c[:0] for c in held]
+        if held is not None and len(held[0]):
+            yield from settled(held)
+
+    def settled(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Whole buckets: the pairs of ordinary ones, the rows of those over `crowded`."""
+        first = np.flatnonzero(np.append(True, own[0][1:] != own[0][:-1]))
+        sizes = np.diff(np.append(first, len(own[0])))
+        large = np.repeat(sizes > crowded, sizes)
+        if large.any():
+            yield of(None, None, [c[large] for c in own])
+            own = [c[~large] for c in own]
+        if len(own[0]):
+            yield pairs(own)
+
+    return rows.mapInArrow(run, "a bigint, b bigint, " + KEY_ROWS)
+
+
+def candidates(rows: DataFrame, share_num: int, share_den: int, groups: int = GROUPS, crowded: int = CROWDED) -> DataFrame:
+    """(a, b), a < b: classes of rows(id, cls, bag) that share a key and whose sizes and sketches allow the similarity."""
+    together = lambda df: df.repartition("key").sortWithinPartitions("key", "cls")
+    met = materialize(meet(together(key_table(rows, groups)), share_num, share_den, crowded), "met")
+    members = met.where("key is not null").select("key", "cls", "n", *SKETCHES).dropDuplicates(["key", "cls"])
+    chunks = members.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(crowded)).cast("int").alias("chunks"))
+    placed = members.join(chunks, "key").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = placed.select(F.xxhash64("key", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "cls", "n", *SKETCHES)
+    split = meet(together(cells), share_num, share_den, 1 << 62)
+    return met.where("key is null").select("a", "b").unionByName(split.select("a", "b")).distinct()
+
+
+def class_pairs(rows: DataFrame, share_num: int, share_den: int, **how: int) -> DataFrame:
+    """(a, b), a < b: different classes of rows(id, cls, bag) that have the similarity."""
+    near = materialize(candidates(rows, share_num, share_den, **how), "candidates")
+    needed = materialize(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "needed")
+    own = materialize(rows.select("cls", "bag").join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("bag").alias("bag")), "needed-bags")
+    both = near.join(own.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a")), "a").join(own.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b")), "b")
+    return both.where(2 * share_den * F.size(F.array_intersect("bag_a", "bag_b")) >= share_num * (F.size("bag_a") + F.size("bag_b"))).select("a", "b")
 
 
-def similar_pairs(df: DataFrame, least: int = 20, share_num: int = 4, share_den: int = 5) -> DataFrame:
+def similar_pairs(df: DataFrame, least: int = 20, share_num: int = 4, share_den: int = 5, **how: int) -> DataFrame:
     """(id_a, id_b), smaller first: records of df(id, title, body) with 2 * common / (words of a + words of b) >= share."""
     rows = materialize(bag_table(df, least), "bags")
-    maps = materialize(bitmap_table(rows), "bitmaps")
-    near = materialize(candidates(maps, share_num, share_den), "candidates")
-    needed = materialize(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "needed")
-    own = rows.select("cls", "bag").join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("bag").alias("bag"))
-    own = materialize(own, "needed-bags")
-    both = near.join(own.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a")), "a").join(own.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b")), "b")
-    alike = both.where(2 * share_den * F.size(F.array_intersect("bag_a", "bag_b")) >= share_num * (F.size("bag_a") + F.size("bag_b"))).select("a", "b")
+    alike = class_pairs(rows, share_num, share_den, **how)
     members = rows.select("cls", "id").distinct()
     one, two = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     across = alike.join(one, "a").join(two, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -214,6 +242,17 @@ def similar_pairs(df: DataFrame, least: int = 20, share_num: int = 4, share_den:
     return across.unionByName(within)
 
 
+def similar_groups(df: DataFrame, least: int = 20, share_num: int = 4, share_den: int = 5, **how: int) -> DataFrame:
+    """(id, group_id): records connected by similar ones; group_id is the least id. Links are between classes; copies are never paired."""
+    rows = materialize(bag_table(df, least), "bags")
+    first = rows.groupBy("cls").agg(F.min("id").alias("first"), (F.min("id") < F.max("id")).alias("copied"))
+    linked = class_pairs(rows, share_num, share_den, **how)
+    by = lambda x: first.select(F.col("cls").alias(x), F.col("first").alias(f"id_{x}"))
+    labels = groups(linked.join(by("a"), "a").join(by("b"), "b").select("id_a", "id_b")).withColumnRenamed("id", "first")
+    named = first.join(labels, "first", "left").where("copied OR group_id IS NOT NULL").select("cls", F.coalesce("group_id", "first").alias("group_id"))
+    return rows.select("cls", "id").distinct().join(named, "cls").select("id", "group_id")
+
+
 def questions(posts: DataFrame) -> DataFrame:
     return posts.where("post_type_id = '1'").select(positive_id("id").alias("id"), "title", "body").where("id is not null")
 
@@ -225,12 +264,14 @@ def groups(pairs: DataFrame) -> DataFrame:
     paths halve, so the rounds grow with the logarithm of a group's diameter. Nothing is gathered on the driver.
     """
     edges = materialize(pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).union(pairs.select("id_b", "id_a")), "edges")
-    labels = materialize(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("id"), "label"), "labels")
+    labels = written = materialize(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("id"), "label"), "labels")
     while True:
         seen = edges.join(labels.select(F.col("id").alias("y"), F.col("label").alias("other")), "y").groupBy("x").agg(F.min("other").alias("other"))
         step = labels.join(seen, F.col("id") == F.col("x")).select("id", "label", F.least("label", "other").alias("low"))
         jump = step.join(labels.select(F.col("id").alias("low"), F.col("label").alias("beyond")), "low", "left").select("id", "label", F.least("low", F.coalesce("beyond", "low")).alias("next"))
         new = materialize(jump, "labels")
+        discard(written)
+        written = new
         if new.where("next <> label").isEmpty():
             return new.select("id", F.col("next").alias("group_id"))
         labels = new.select("id", F.col("next").alias("label"))

@@ -38,8 +38,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    found = neardup.similar_pairs(neardup.questions(table(spark, d, "posts")))
-    return neardup.groups(found).withColumnRenamed("id", "question_id")
+    return neardup.similar_groups(neardup.questions(table(spark, d, "posts"))).withColumnRenamed("id", "question_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +118,27 @@ UNION ALL SELECT id, 'early_reply' FROM x WHERE first < said
 """
 
 
+TEXT = r"replace(replace(replace(replace(replace(replace(regexp_replace({}, '(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>', ' ', 'g'), '&nbsp;', ' '), '&commat;', '@'), '&#x40;', '@'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+WORDS = r"regexp_extract_all(regexp_replace(lower({}), '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}\x{{ad}}]', '', 'g'), '[\p{{L}}\p{{N}}]+')"
+P4 = f"""
+WITH RECURSIVE q AS (SELECT {REF.format('id')} AS id, any_value(coalesce(title, '')) AS title, any_value(coalesce(body, '')) AS body FROM posts WHERE post_type_id = '1' GROUP BY 1),
+w AS (SELECT id, {WORDS.format(TEXT.format('body'))} AS own, {WORDS.format('title')} || {WORDS.format(TEXT.format('body'))} AS words FROM q WHERE id IS NOT NULL),
+b AS (SELECT id, word, count(*) AS k FROM (SELECT id, unnest(words) AS word FROM w WHERE len(own) >= 20) GROUP BY 1, 2),
+s AS (SELECT id, sum(k) AS n FROM b GROUP BY 1),
+c AS (SELECT x.id AS one, y.id AS two, sum(least(x.k, y.k)) AS common FROM b x JOIN b y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2),
+near AS (SELECT one, two FROM c JOIN s sa ON sa.id = one JOIN s sb ON sb.id = two WHERE 10 * common >= 4 * (sa.n + sb.n)),
+"""
+P4_GROUPS = P4 + """
+e AS (SELECT one, two FROM near UNION SELECT two, one FROM near),
+r AS (SELECT one AS id, one AS reached FROM e UNION SELECT r.id, e.two FROM r JOIN e ON e.one = r.reached)
+SELECT id AS question_id, min(reached) AS group_id FROM r GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": P4.rstrip().removesuffix(",") + " SELECT one AS question_id_a, two AS question_id_b FROM near",
+        "p4_groups": P4_GROUPS,
         "p1_percentiles": P1,
         "p6_found": P6,
         "p3_found": P3 + "SELECT tag_a, tag_b FROM y WHERE n_ab >= 5 AND n_ab * n >= 4 * n_a * n_b",
