@@ -10,13 +10,23 @@ def finder():
     return pii.Finder(pii.train())
 
 
-def test_held_out(finder):
-    table = labelled_table(seed=991, per_kind=60, neutral=400)
+def test_held_out_carriers():
+    """Sentences, as well as fillers, that the model has not been trained on."""
+    finder = pii.Finder(pii.train(part="train"))
+    table = labelled_table(seed=991, per_kind=100, neutral=500, part="held")
     hit = extra = missed = 0
     for (_, spans), found in zip(table, finder.find([t for t, _ in table])):
         want, got = {k for *_, k in spans}, {k for *_, k in found}
         hit, extra, missed = hit + len(want & got), extra + len(got - want), missed + len(want - got)
-    assert hit / (hit + extra) > 0.97 and hit / (hit + missed) > 0.95
+    assert hit / (hit + extra) > 0.95 and hit / (hit + missed) > 0.9
+
+
+def test_parts_share_no_carrier():
+    from threadloom.llm import pii_table
+
+    for xs in pii_table.CARRIERS.values():
+        train, held = pii_table._part(xs, "train"), pii_table._part(xs, "held")
+        assert len(train) + len(held) == len(xs) and len(held) >= 4
 
 
 def test_viterbi_against_enumeration():

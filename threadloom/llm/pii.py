@@ -2,6 +2,7 @@
 
 The model is trained on the driver from the labelled table of pii_table (a few thousand sentences made by rule, a
 fixed parameter) by gradient ascent on the likelihood, and decoded by Viterbi in numpy batches of lines of like length.
+Besides its shape a word has the feature whether public vocabularies know it, and whether only with a capital.
 From upper bounds of what each token can gain by a label other than O, the best sum over any stretch through a token
 tells whether it can be part of anything; only runs of such tokens are decoded, all others are O on the best path.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.ids import positive_id
 from threadloom.functions.text import visible_text
-from threadloom.llm.bpe import LETTER, NUMBER, SPACE, code_point_classes
+from threadloom.llm.bpe import DEFAULT_TOKENIZERS, LETTER, NUMBER, SPACE, code_point_classes
 from threadloom.llm.pii_table import GIVEN, KINDS, TITLES, labelled_table
 
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
@@ -33,6 +34,8 @@ GLUE = 4  # (no space before this token) + 2 * (no space before the next)
 NEVER = -1e4
 CHUNK = 1_000_000
 REMEMBERED = 300_000
+LEAN = 0.75  # added to the score of a beginning name, of which fewer are recognized than of other kinds
+VOCABULARIES = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 _SETS = {"given": {g.lower() for g in GIVEN}, "title": {t.lower().rstrip(".") for t in TITLES}}
 _STREET = re.compile(r"(?:stra(?:ß|ss)e|str|weg|gasse|platz|allee)$")
@@ -46,10 +49,28 @@ def shape(token: str) -> str:
     return token
 
 
-def features(token: str) -> list[str]:
+@cache
+def lexicon(folder: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Words, and words known only with a capital, among the whole tokens of public vocabularies; a fixed size."""
+    import base64
+
+    known = set()
+    for name in VOCABULARIES:
+        with open(f"{folder}/{name}.tiktoken", "rb") as f:
+            for line in f:
+                token = base64.b64decode(line.split()[0])
+                if token[:1] == b" " and (word := token[1:].decode("utf-8", "ignore")).isalpha():
+                    known.add(word)
+    lower = frozenset(w for w in known if w.islower())
+    return lower, frozenset(w.lower() for w in known if w.istitle() and w.lower() not in lower)
+
+
+def features(token: str, words: tuple[frozenset[str], frozenset[str]]) -> list[str]:
     low, s = token.lower(), shape(token)
     out = ["s=" + s, "w=" + low]
     if token.isalpha():
+        kind = "common" if low in words[0] else "proper" if low in words[1] else "unknown"
+        out += ["k=" + kind, f"k={kind} {s}"]
         out += [f"l={min(len(token), 9)}", "z=" + low[-3:], "y=" + low[-2:]]
         out += ["in=" + k for k, names in _SETS.items() if low in names]
         if _STREET.search(low):
@@ -97,8 +118,8 @@ class Tokens:
 class Model:
     """Weights of the field. emission(types) gives for every type and offset its scores of the labels."""
 
-    def __init__(self, names: dict[str, int], weights: np.ndarray, glue: np.ndarray, moves: np.ndarray, first: np.ndarray) -> None:
-        self.names, self.weights, self.glue, self.moves, self.first = names, weights, glue, moves, first
+    def __init__(self, names: dict[str, int], weights: np.ndarray, glue: np.ndarray, moves: np.ndarray, first: np.ndarray, words: tuple[frozenset[str], frozenset[str]]) -> None:
+        self.names, self.weights, self.glue, self.moves, self.first, self.words = names, weights, glue, moves, first, words
         self.forget()
 
     def forget(self) -> None:
@@ -114,7 +135,7 @@ class Model:
             ids, owner = [], []
             for i, t in enumerate(new):
                 self.known[t] = len(self.known)
-                for f in features(t):
+                for f in features(t, self.words):
                     if (k := self.names.get(f)) is not None:
                         ids.append(k)
                         owner.append(i)
@@ -151,9 +172,9 @@ def _pad(lines: list[np.ndarray], length: int, fill: int, margin: int) -> np.nda
 
 
 @cache
-def train(seed: int = 7, epochs: int = 10, batch: int = 256, rate: float = 0.12, decay: float = 2e-5) -> tuple:
+def train(seed: int = 7, epochs: int = 10, batch: int = 256, rate: float = 0.12, decay: float = 2e-5, part: str = "all", tokenizers: str = DEFAULT_TOKENIZERS) -> tuple:
     """Weights from the labelled table. Runs on the driver in a few seconds; the table's size is fixed."""
-    table = labelled_table(seed)
+    table = labelled_table(seed, part=part)
     tokens = Tokens([t for t, _ in table], code_point_classes())
     label = np.zeros(len(tokens.type), np.int64)
     for i, (_, spans) in enumerate(table):
@@ -164,11 +185,15 @@ def train(seed: int = 7, epochs: int = 10, batch: int = 256, rate: float = 0.12,
     # an item that goes on in the next line begins there anew
     heads = np.diff(tokens.line, prepend=-1) != 0
     label[heads & (label > 0) & (label % 2 == 0)] -= 1
-    own = [features(t) for t in tokens.types]
+    words = lexicon(tokenizers)
+    own = [features(t, words) for t in tokens.types]
     seen = Counter(f for k in tokens.type.tolist() for f in own[k])
     names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 4))}
     pairs = [(i, names[f]) for i, fs in enumerate(own) for f in fs if f in names]
     of_type, of_feature = (np.array(x) for x in zip(*pairs))
+    spelled = np.array([f[:2] in ("w=", "z=", "y=") for f in sorted(names, key=names.get)])[of_feature]
+    given = np.array([f[:3] == "in=" for f in sorted(names, key=names.get)])[of_feature]
+    dropped = np.where(spelled, 0.4, np.where(given, 0.3, 0.1))
     weights, glue, moves, first = np.zeros((len(names), len(OFFSETS), N), np.float32), np.zeros((GLUE, N), np.float32), np.zeros((N, N), np.float32), np.zeros(N, np.float32)
     mask = _allowed()
     start_mask = np.where([x[0] == "I" for x in LABELS], NEVER, 0).astype(np.float32)
@@ -185,7 +210,7 @@ def train(seed: int = 7, epochs: int = 10, batch: int = 256, rate: float = 0.12,
             chosen = [lines[i] for i in groups[g]]
             length = max(map(len, chosen))
             # words are left out at random, so that shapes and neighbours carry their part
-            keep = rng.random(len(of_type)) > 0.25
+            keep = rng.random(len(of_type)) > dropped
             emit_of[:] = 0
             np.add.at(emit_of, of_type[keep], weights[of_feature[keep]])
             rows = _pad([tokens.type[x] for x in chosen], length, -1, 2)
@@ -212,7 +237,8 @@ def train(seed: int = 7, epochs: int = 10, batch: int = 256, rate: float = 0.12,
                 grad = grad / len(chosen) - decay * x
                 sq += grad * grad
                 x += rate * grad / np.sqrt(sq)
-    return names, weights, glue, moves + mask, first + start_mask
+    glue[:, LABELS.index("B-name")] += LEAN
+    return names, weights, glue, moves + mask, first + start_mask, words
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -363,7 +389,10 @@ def plausible(item: str, kind: str) -> bool:
         return digits >= 5
     if kind == "address":
         return digits >= 1 and bool(re.search(r"[^\W\d_]{2}", item))
-    return len(re.findall(r"[^\W\d_]+", item)) >= 2 and not digits
+    parts = re.findall(r"[^\W\d_]+", item)
+    comma = "," not in item or bool(parts) and parts[0].isupper()  # FAMILY, Given
+    sentence = re.search(r"[^\W\d_]{4,}\.\s", item)  # a longer word with a full stop ends a sentence; titles are shorter
+    return len(parts) >= 2 and not digits and comma and not sentence
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:

@@ -1,7 +1,11 @@
 """The small labelled table from which the model of personal information is trained.
 
-Sentences are carriers with slots; what fills a personal slot is labelled with its kind. Fillers are made by rule from
-a fixed seed, so the table is the same everywhere; nobody real is in it.
+Sentences are carriers with slots; what fills a personal slot is labelled with its kind. Carriers and neutral sentences
+were written for this table from general knowledge of letters, forums and forms; none is taken from a text the operator
+is run on. Fillers are made by rule from a fixed seed, so the table is the same everywhere; nobody real is in it.
+
+Every fifth carrier and neutral sentence belongs to the held-out part: `labelled_table(part="train")` has none of them,
+`part="held"` only them, so that quality is measured on sentences the model has never seen.
 """
 
 from __future__ import annotations
@@ -10,50 +14,64 @@ import random
 import re
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-
-GIVEN = """Anna Ben Carla David Elena Felix Greta Hugo Ingrid Jonas Karin Leif Marta Nadia Oskar Paula Rafael Sofia Tomas Ursula Viktor
-Wanda Yusuf Zainab Amir Bruno Camila Dmitri Emeka Fatima Gustav Hamish Idris Jolanta Kwame Lucinda Mateo Noor Odalys Pedro Renzo Saskia
-Tariq Anneke Hollis Bastien Maria John James Mary Peter Paul Laura Julia Simon Lukas Emma Oliver Lena Nina Max Tim Eva Ivan Olga Chen Wei
-Akira Yuki Priya Raj Aisha Omar Chloe Louis Marie Pierre Luca Giulia Marco Sara Jan Piet Sven Lars Astrid Bjorn Carmen Jose Luis Pablo Benedikt Farah Fiona Beatriz Clara Erik Georg Hanna Irene Klaus Lucia Miguel Nora Otto Petra Rosa Stefan Teresa Victor Walter""".split()
-TITLES = ["Dr.", "Ms", "Mr", "Mrs", "Prof.", "Herr", "Frau", "Mr.", "Ms.", "Mrs."]
-
+HELD = 5  # one carrier in so many is held out
+
+#: Common given names of several languages.
+GIVEN = """Adam Adrian Agnes Ahmed Aisha Alain Alan Albert Alexander Alice Amina Amir Amy Ana Andrea Andrei Andrew Anita Anna Anne Antonio Arthur Astrid
+Barbara Beatrice Ben Benjamin Bernd Birgit Boris Brian Bruno Camille Carl Carlos Carmen Caroline Catherine Charles Charlotte Chen Chloe Christian Claire Clara
+Claudia Colin Daniel David Deepak Diana Diego Dmitri Dorothy Edward Elena Elizabeth Emil Emily Emma Erik Esther Eva Fabian Farid Fatima Felix Fernando Fiona
+Francesca Francis Frank Freya George Gerhard Giovanni Grace Greta Hana Hannah Hans Harold Hassan Heidi Helen Henry Hiro Hugo Ian Ibrahim Igor Ines Ingrid Irene
+Isabel Ivan Jack Jakob James Jane Javier Jean Jens Joan Johanna John Jonas Jorge Joseph Juan Julia Karen Karim Karl Kate Katrin Kenji Kevin Klara Klaus Kofi
+Lars Laura Leila Lena Leo Linda Louis Lucas Lucia Luigi Magda Marco Margaret Maria Marie Mario Mark Martin Mary Matteo Maya Michael Miguel Mina Mohammed Monica
+Nadia Nathan Nicole Nikolai Nina Noah Nora Olga Oliver Omar Oscar Otto Pablo Patricia Paul Pedro Peter Petra Philip Pierre Priya Rachel Raj Ravi Robert Rosa
+Ruth Sara Simon Sofia Stefan Susan Sven Tariq Teresa Thomas Tim Tomas Valentina Vera Victor Walter Wei William Yuki Yusuf Zoe""".split()
+TITLES = ["Dr.", "Ms", "Mr", "Mrs", "Prof.", "Herr", "Frau", "Mr.", "Ms.", "Mrs.", "Señora", "Madame"]
+
+#: Sentences with a personal slot. Other slots are as in NEUTRAL.
 CARRIERS = {
-    "email": ["Send the trace to {} and I will have a look.", "Login failed for {} again.", "{} is where the list goes.", "I left the dump at {} yesterday.", "Nobody but {} has the key.", "You can write to {} about the details.", "CC {}, otherwise nobody reads it.", "It says From: {} in the header.", "Mail me: {}, please.", "The address is {} in case the thread gets closed.", "Reported by {}.", "({})", "Reach me under {} any day.", "My mail is {} if that helps.", "{}", "Contact: {}"],
-    "phone": ["Call me on {} after six.", "My cell is {} if that is faster.", "The workshop answers at {} on weekdays.", "Is {} still the right line?", "They hung up twice, so I gave them {} instead.", "The script dials {} on every alarm.", "{}, any time.", "WhatsApp {} works too.", "Ring {} and ask for the night shift.", "Fax or phone: {}, both work.", "text {} when the run is over.", "({})", "Tel: {}", "You can phone {} before noon."],
-    "id_number": ["Use {} to find the case.", "They asked for {} before they would look at it.", "The form wants my {} in the first field.", "Row one holds {} and nothing else.", "I pasted {} by accident, sorry.", "The scan of {} fails at the last digit.", "Is {} rejected because of the blanks?", "It printed my {} into the log, is that normal?", "For the record, {} is the one I registered with.", "({})", "{} is the one I registered with."],
-    "address": ["Deliver it to {} please.", "Our lab is at {}, second door.", "I live at {} so shipping takes a while.", "Ship to: {}.", "Pick it up behind {}, ring twice.", "My test record is {} and it is real.", "The geocoder puts {} into the sea.", "The board can be returned to {}, any day.", "Postal mail goes to {} as before.", "We moved from {} in spring.", "({})", "{}", "Come to {} on monday."],
-    "name": ["This was signed by {} last week.", "Sent on behalf of {}.", "Copied from a letter to {} here.", "The row of {} is the one that breaks.", "Regards, {}", "Regards, {}.", "Ask for {} at the desk.", "{} told me the same.", "My supervisor {} wrote that part.", "Has {} answered yet?", "Credit goes to {} for the idea.", "I met {} at the desk and we fixed it.", "According to {} it has to stay.", "The patch by {} was never merged.", "I am {} and I maintain the {w}.", "({})", "{}", "Thanks, {}", "For the record, {} is the author.", "Best wishes {}", "Reported by {}.", "Reported by {}"],
+    "email": """Please forward the report to {}.|Questions go to {}, not to the forum.|Her new account is {} since March.|Drop a line to {} when you are ready|Registered with {} two years ago.|the bounce came back from {}|Write {} for access.|I used {} as the login.
+Invoices belong to {} only.|E-mail: {}|email {} instead|To: {}; Subject: backup|Bugs? {}|Maintainer: {}|{} did not reply.|{} bounced twice today, so try later.|Add {} to the mailing list, please.|they asked to copy {} on everything|Escribe a {} si tienes dudas.
+Schreib bitte an {}, dann klappt es.|Écrivez à {} pour la suite.|Correo: {}|git config user.email {}|Signed-off-by: {}|Their old mailbox was {} until last year.|[{}]|{}|({})|{}|Any question: {}|Is {} still valid?|My mail, {}, is on the website.|The {w} sends a warning to {} whenever it stops.|subscribe with {} and wait""",
+    "phone": """Phone: {}|Mobile {}|Give me a ring at {}.|If it burns, dial {} at once.|the hotline is {} (24 hours)|My number is {}.|Reach the office on {}, extension 4.|Telefon {}|Tel. {}|Teléfono: {}|Llámame al {} mañana.|Ruf mich unter {} an.|Appelez le {} avant midi.|fax {}
+SMS to {} works best|He left {} on the answering machine.|Support can be reached at {} between nine and five.|I phoned {} but nobody picked up.|{} is my desk.|{} rings forever|Signal or Telegram: {}|Emergency contact {}|the number {} is printed on the back|{}|({})|{}|{}, evenings only.|Why does the {w} refuse {} as a number?
+For urgent cases there is {}.|We got a missed call from {} at noon.|Is {} a landline?|send a message to {} and wait|my phone, {}, was stolen|They gave {} to the wrong customer.""",
+    "id_number": """My {} was stored in plain text.|Why does the check refuse {}?|The clerk typed {} twice.|{} shows up in the backup as well.|Enter {} and press return.|somebody posted {} in the channel|The field accepts {} but not lower case.|El formulario no acepta {}.|Meine {} steht im Protokoll.|The sample row has {}.
+Customer file: {}|{}|({})|validation of {} ends in an error|please delete {} from your reply|I only have {} with me|the letter quotes {} in the header|{}|With {} the lookup works.|Our form prints {} at the bottom, which it should not.|{} is mine.|Is {} too long for the column?|They matched {} against the register.|he sent {} unencrypted""",
+    "address": """Send the package to {}.|Our office moved to {} in June.|You will find us at {}.|Address: {}|He lives at {}, third floor.|The parcel for {} came back.|Navigate to {} and it shows a lake.|Billing address {}|The map centers on {} by default.|We meet at {} on Friday.|Wohnhaft in {}.|Mi dirección es {}.|J'habite {}.
+The customer at {} has no fibre.|Try {} as the test input.|the store near {} has it|Return it to {} within ten days.|{} is not found by the lookup.|From {} it is a short walk.|{}|({})|{}|My flat is {}.|the courier needs {} in one line|Why is {} split into two fields?|They delivered to {} although I was away.|Her shop is in {}, next to the bank.|the old place was {}|letters go to {} now""",
+    "name": """Best, {}|Cheers, {}|Kind regards {}|-- {}|Written by {}|© {}|{} wrote:|as {} pointed out, the {w} is {W}|thanks to {} for testing|Talk to {} about it.|My colleague {} found the cause.|I asked {} and got no answer.|Mit freundlichen Grüßen {}|Gracias a {} por la ayuda.|Merci à {} pour son aide|The account belongs to {}.
+{} and I rewrote it.|{} will be on leave.|Reviewer: {}|Author: {}|The late {} started the project|her name is {}|a talk by {} explains that|{} (maintainer)|Is {} still around?|We hired {} in May.|the form was filled in by {} in person|the book of {} has a section on it|Hi {},|Dear {},|PS: {} says hello|{}|({})|{}
+Yesterday {} showed me another way.|This comes from a mail of {} to the list.|In the minutes {} is named as the owner.|Only {} may merge this.|The idea was first described by {}.|I work with {} on the {w}.|Did {} ever fix the {w}?|The ticket of {} was closed.|My name is {} and I run the {w}.|ask {} or me|{} reported it, too.|{} thinks so as well.|a letter signed {}|on behalf of {}|I am {}, new here.|the profile of {} cannot be opened
+Everything in this folder was made by {}.|We still wait for {} to confirm.|When {} left, nobody took over the {w}.|The first draft is from {}, the second from me.|According to the log, {} was the last to {v} it.|Sincerely, {}|Yours, {}|{}, our admin, has the password.|Sorry {}, my mistake.|You may want to meet {}.|Photo: {}|Speaker: {}|Contact person is {}.|Has anyone talked to {}?|{} asked for a {W} {w}.
+Then {} suggested {c}.|It was {} who found it.|I share the room with {}.|This is how {} explains it.|The review by {} was helpful.|The complaint came from {}.|{} and the rest of the team agree.|the row for {} is empty|Both {} and the vendor know.|{} has moved to another team.|Every user but {} can log in.|Please give {} access to {f}.|Frag {}, wenn du nicht weiterkommst.|{} hat das geschrieben.|Lo escribió {}.|Demande à {}.|no word from {} yet|as taught by {}""",
 }
+CARRIERS = {k: [c for line in v.split("\n") for c in line.split("|")] for k, v in CARRIERS.items()}
 
-#: Sentences without personal information: w noun, W adjective, P product, n number, f path, i identifier, h code.
+#: Sentences without personal information: w noun, W adjective, P product, n number, f path, i identifier, h code, c call, v verb, x hash, u user handle, L place-like product of two words.
 NEUTRAL = """
-@{i} the {w} you mean is {W}.|@{i} and @{i} said so already.|Note that {c} cannot {v} a {w} of {n} entries.|We run {P} behind a {W} {w}, and each {w} may {v} up to {n} times.
-{P} {n} changed that: the {w} is {W} now.|It turned out that {h} only means the {w} could not {v} a {W} {w}.|With {n} workers the {w} took {n} seconds, which looks {W} to me.
-If I {v} the {w} by hand, {c} returns a {W} value and the {w} recovers.|The relevant part of the log mentions error {h} next to a {W} {w}.|Works here with {P} {n}, so it must be your {w}.
-Rolling back to {n} helps, but then the {W} {w} cannot {v} the {w}.|Set {c} to {n} and {v} the {w} again; that made the {W} {w} go away here.|A colleague uses a {W} {w} from {P} for it and can {v} {n} of them an hour.
-Our team keeps about {n} {w} files per {w}, most of them {W}.|A {w} of size {n} is too {W} for this; use a second {w} and {v} both.|Between {n} and {n} entries the {w} stays {W}; above that it tends to {v}.
-Once an hour, the {P} {w} begins to {v} and fills {f} with error {h}.|After moving to {P} {n}, the {w} no longer tries to {v} anything and reports {h} instead.|The {w} in question was built with {P} {n} and a {W} {w}.
-My {w} reads {f} and then calls {c} on every {W} {w}.|Both the {w} and the {w} are {W}, and neither will {v} for {P}.|Keep the {w} {W}, {v} only what changed, and let {P} handle the {w}.
-Someone suggested to {v} the {w} with {c}, yet the {W} {w} stayed.|When the {w} is {W}, {P} has to {v} every {w} overnight.|The same {w} works with {P}, only the {W} one does not {v}.|The manual says that {c} must {v} the {W} {w} first, but it never does.
-Has anyone seen the {w} {v} twice under load when the {w} is {W}?|Is there a {W} way to {v} a {w} without having to {v} the whole {w}?|Could the {W} {w} in {f} be the reason why {c} refuses to {v}?|Please check whether your {w} still has the {W} {w} named {c}.
-I already tried to {v} the {w} and to {v} {f}, without luck.|From {f} you can see that the {w} will {v} before the {w} does.|Nothing in {f} tells me which {w} is {W} or how to {v} it.|To reproduce it, {v} {f}, wait for the {w}, then {v} the {W} {w}.
-I would {v} the {w} first, measure for {n} minutes, and only then {v} the {W} one.|In older releases the {w} was {W}, so {c} could {v} it directly.|For a {W} {w} you may also {v} the {w} through {c} and skip {f}.|You need to {v} the {w} before the {W} {w} can {v}, otherwise {P} falls back to {n}.
-The commit is {x} on the {w} branch.|Use the id {x} from the {w} list.|Ticket {w}-{d} has the same trace.|pip install {w}=={n}.{n} or {w}@{n} did it.|root@node{s}:~# {v} {w}|(see {w} {s}-{s})|ISBN 000-0-00-{d}-{s} has a chapter on it.|It was build 2024{r} on 192.0.2.{s}, port 80{s}.
-The run took 19:{s}:16 and wrote 00{d}{s}12 rows.|The timestamp was 2024{d}{r}.|The timestamp was 2024{d}{d}{s}, any time.|Row one holds {D}.{s} and nothing else.|The address is 0x{D} in the dump.|The street map layer has {s} lanes and {s} tiles.|The form wants my {w} in the first field.
-Our lab is at version {n}, second {w}.|Deliver it to /dev/null please.|Send the trace to the {w} tracker and I will have a look.|Nobody but the {w} has the key.|According to the {P} library it has to stay.|My supervisor process wrote that part.|I am {W} and I maintain the {w}.|Ask for {P} support at the {w} desk.
-Reported by {P} {n}.|Blue Harbor and Amber Ridge are both {w} themes.|Green Valley and Red Stone are both {w} themes.|Has {P} answered yet?|The patch by {P} was never merged.|Credit goes to the {w} for the idea.|Call {c} after six.|Ring the {w} and ask for the log.|Postal mail goes to the {w} as before.
-I voted to close since the {w} is not {W}.|Please add the content of {f} to the question.|Then {v} the {w} first; {P} expects a {W} one.|Thanks, to {v} the {w} was what I missed.|Yes, since {n}.|No. Use {c}.|{P} {w} does that.|Restart the {w}.|You can't, the {w} is {W}.|+1|HTH|Good luck|Just my two cents
-SELECT {w}, {i} FROM {i}_{w} WHERE {i} > {d}|{i} = {v}_{w}({i}, {d})|if {w} < {s} and not {i}:|$ {i} --{w}={i}|    return {i}["{w}"] & {h}|{v} the {W} {w}|What is the difference between a {W} {w} and a {w} in {P}?|Why does {c} {v} my {w} twice in {P} {n}?
-My understanding of a {w} is that it should {v} on my laptop, never in a {W} {w}.|I have a {W} {w} in {P} that should {v} the {w} whenever the {w} starts to {v}.|There are two {w} settings: one that will {v} the {w} and a {W} one for {f}.|As far as I can tell, {P} treats a {W} {w} as a {w} and will {v} it at random.
-This happens because the {w} holds a {W} {w} while {c} waits to {v}.|What I expected was a {W} {w}; what I get is a {w} of {n} rows.|The simplest fix is to {v} {f} and let the {w} {v} itself.|I do not want to {v} the {w} each time, since the {w} is {W} under load.|My supervisor reads {f} and then calls {c} on every {W} {w}.|Sorry, I am not able to comment on {P}.
-El {w} no se puede {v} aunque el {w} {W} ya está listo.|Después de pasar a {P} {n}, el {w} solo muestra error {h}.|Según el manual, {c} puede {v} como máximo {n} filas.|¿Hay alguna manera de {v} el {w} sin detener {P}?|Necesité {n} intentos para {v} el {w} de {P}.|A mí me sirvió {v} {f} y luego volver a {v} el {w}.|Sin el {w} nadie puede {v} {f} correctamente.
-Der {N} lässt sich nicht {v}, obwohl der {W} {N} schon bereitsteht.|Laut Handbuch darf {c} höchstens {n} Zeilen {v}.|Unser {N} läuft seit Wochen, doch der {W} {N} bricht mit error {h} ab.|Nach dem Wechsel auf {P} {n} meldet der {N} nur noch {h}.|Ich habe {n} Versuche gebraucht, um den {N} zu {v}.|Wer den {N} mit {c} aufruft, sollte vorher den {N} {v}.|Bei mir half es, {f} zu {v} und danach {P} neu zu {v}.|Man muss zuerst den {N} {v}, sonst bleibt der {W} {N} stehen.
-Je pense que le {w} garde une copie de {f} trop longtemps.|Depuis la version {n} de {P}, le {w} renvoie toujours error {h}.|Il faut d'abord {v} le {w}, sinon le {w} {W} ne répond plus.
+I get error {h} as soon as the {w} grows beyond {n} rows.|Why is my {w} so {W} after the update to {P} {n}?|The {w} was {W} even before I touched {f}.|Delete {f}, then start {P} again.|You could also {v} the {w} with {c}.|Does {c} still {v} the {w} in version {n}?|See the notes on {P} {n} for why it went away.
+@{i} thanks, that did it.|@{i} no, I use {P}.|@{u} could you post the whole {w}?|First check that {f} exists, second that {c} returns {n}.|It fails on {P} but works on {L}.|{L} is the name of our test cluster.|{L} and {L} ship the same {w}.|Our product {L} uses a {W} {w}.|We compared {P} with {L} for a month.|The new {L} release breaks my {w}.
+Between 10:{s} and 11:{s} nothing was written.|The build {n} took {n} seconds on a machine with {s} cores.|Port {n} is taken, so I moved it to {n}.|The host 10.0.{s}.{s} does not answer.|ping 192.168.{s}.{s} shows no loss|Version {n}.{s}.{s} is out since 20{s}-0{r1}-1{r1}.|Commit {x} introduced it.|sha1 {x}{x} does not match|The order {D} was shipped.|Invoice {d}-{s} is still open.
+ISBN 978-{r1}-{d}-{s}-{r1} covers it in chapter {s}.|Issue #{d} has the details, see also #{d}.|My score went from {n} to {n}.|The id column holds {D} and {D}.|Row {n} of {n} was skipped.|Room {s} has no socket.|In 20{s} there were {n} of them.|Add {n} grams, wait {s} minutes.|Add rows {s}, {s} and {s}.|The serial number {D} is printed below.|timeout after {D} ms|ISBN {d}-{s}-{d}-{r1} is out of print.|The ISSN is {r4}-{r4}.|See ISBN 3-{s}-{d}-{r1}, page {s}.|DOI 10.{r4}/{i}.{d}
+Use {i}@{s} or pin {w}=={n}.|The decorator @{i} must come first.|npm i @{i}/{i}@{n} fails|user@host:~$ {v} {f}|ssh root@{i} works, {i} does not|The hashtag and the @ sign both need quotes.|He said at most {n} at a time.|Look at {c} dot chaining instead.|meet at {n} sharp|The street layer of the map is empty.|A road name may be null.|Every address in memory is {W}.
+Unit tests pass, unit {s} fails.|The apartment dataset has {n} rows and {s} columns.|Phone support was not helpful.|Call {c} before you {v} the {w}.|Mail gets stuck in the {w}.|My name server is {W}.|Passport is a library for logins.|The passport middleware throws {h}.|The licence of {P} forbids that.|A social security field must be masked.|Identity columns are {W} in {P}.|The tax module of {P} rounds to {n} digits.
+Best regards|Best wishes|Thanks a lot|Cheers|Hi all,|Dear team,|Written in {P} {n}.|Written by the {w} itself.|Reviewed twice, no change.|Author unknown.|The author of {P} agrees.|Kind of slow, but fine.|Talk to the {w} team.|Ask the {P} people about it.|Is {P} still around?|Did {P} ever fix the {w}?|I asked twice and got no answer.|On behalf of the {w} process it runs {c}.
+Monday March 3|Windows Server is {W} here.|Google Chrome and Mozilla Firefox differ.|New York has its own time zone.|Visual Studio cannot find the {w}.|The United Nations list has {n} entries.|Stack Overflow had the same question.|Apache Spark reads {f} in {n} seconds.|Machine Learning is not needed for this.|Big Data is a {W} word.|The Quick Start guide says {v}.|Silver Lake was the code name.|Both Red Hat and Open Suse are fine.
+SELECT {i}, count(*) FROM {i} WHERE {i} > {n}|for {i} in range({n}): {c}|{i} = {i}.{i}({n}, "{w}")|if {i} == {n} then return {h} end|def {i}(self, {i}={n}):|$ {v} --{w} {f} -n {n}|curl -X POST http://localhost:{n}/{i}|import {i} as {i}|return {i}[{n}] + {i}|<{i} {i}="{n}">|{i}: {i}|const {i} = await {c};
+While the {w} is {W}, {P} will {v} it.|As long as it is {W}, {P} cannot {v}.|Whenever the {w} gets {W}, {P} tries to {v} the {w}.|Unless {f} is {W}, {P} stops.|Since the {w} was {W}, {P} had nothing to {v}.|If {v} is {W}, {P} has a bug.|Because the {w} is {W}, {P} skips it.|It ended, {P} did not.|The {w} became {W}. {P} did not notice.|Now it runs on {P}. Still, the {w} is {W}.|That was {P}. This is {P}.
+El {w} {W} no responde.|Un {w} {W} puede {v} otro {w} {W}.|Cada {w} {W} ocupa {n} bytes.|Cambié el {w} {W} por uno nuevo y ahora funciona.|No conviene {v} un {w} {W} dos veces.|El marco antiguo del formulario ocupa demasiado espacio.|Un puerto externo cerrado bloquea la conexión segura.|Quitar el enlace oculto y el filtro roto ayudó bastante.|El tejido simétrico sirve para hilos paralelos.
+Ich musste den {N} dreimal {v} und danach neu laden.|Der Rechner ließ sich nicht herunterfahren, obwohl keine Anwendung lief.|Ein beschädigter {N} muss vollständig ersetzt werden.|Nachdem ich alles mehrmals verschoben und umbenannt hatte, ging es.|Vorübergehend hilft auch abschalten und wieder einschalten.|Der eingebaute {N} darf niemals gleichzeitig {v}.
+What does {h} mean?|Once it is {W}, {P} starts again.|Being {W}, {P} gives up.|If it stays {W}, {P} and {P} wait.|The setting may be {W}, {W} or {W}.|In {P}, {c} is {W}.|Install {P} from {P}, not from {P}.|{P} calls {P}, {P} calls {c}.|Use a {W} {w}, {v} it, then {v} {f}.|It depends on the {w}.|Not reproducible on my side.|Works for me.|This answer is wrong since {P} {n}.|Please show the content of {f}.|I do not have a {w}.|There is no need to {v} anything.|It is {W}, that is all.|Never mind, found it.|Same here with {P} {n}.|Is it possible to {v} a {w} twice?|How can I {v} the {W} {w} without losing the {w}?|A {W} {w} can {v} up to {n} times per second, which is enough for most uses.
+When I {v} the {w}, all values become {n}.|After some hours the {W} {w} begins to {v} and memory reaches {n} MB.|We are three people and look after {n} machines with {P}.|The documentation of {c} is {W}, so I read the source in {f}.|What I want: one {w} per {w}, sorted by {i}.|What happens: the {w} is {W} and {P} prints {h}.|As a workaround, {v} the {w} every {n} minutes.|My guess is that {P} keeps the {w} open while {c} is running.|I tried {c}, {c} and {c}; none of them {v} the {w}.
+¿Cómo puedo {v} el {w} sin perder {f}?|El {w} tarda {n} segundos con {P} {n}.|No encuentro el {w} en {f}.|La tabla tiene {n} filas y {s} columnas.|Gracias, era el {w}.|Probé {c} y sigue igual.|Con la versión {n} de {P} aparece error {h}.|¿Por qué {P} no guarda el {w} {W}?|Hay que {v} primero el {w}.|Si el {w} está {W}, {c} devuelve {n}.
+Wie kann ich den {N} ohne {P} {v}?|Der {N} ist seit Version {n} sehr {W}.|Die Tabelle hat {n} Zeilen und {s} Spalten.|Danke, es lag am {N}.|In {f} steht nichts davon.|Mit {c} geht es nicht, weil der {N} {W} ist.|Seit Montag meldet {P} den Fehler {h}.|Bitte den {N} neu starten und {f} löschen.|Warum braucht der {N} auf {P} {n} Sekunden?|Ein {W} {N} reicht für {n} Einträge.
+Comment {v} le {w} sans perdre {f} ?|Le {w} met {n} secondes avec {P} {n}.|La table a {n} lignes.|Merci, c'était le {w}.|Il faut relancer {P} après chaque {w}.|Come posso {v} il {w} con {P}?|Il {w} non funziona dopo la versione {n}.
 """
-NOUNS = "cache parser kernel widget table branch socket driver logger panel sensor queue index proxy thread module schema server buffer mutex label layout filter monitor engine router desk editor archivo disco cable fichier pilote street lane address phone name number mail".split()
-ADJECTIVES = "slow stale hidden remote custom dense outer late odd flat random weak local final legacy empty volatile lento rápido alte neue".split()
-VERBS = "copy move load sync drain reset merge patch scan write delete rename restart measure call ring mail send abrir mover laden prüfen".split()
-CITIES = 2
+NOUNS = "server file query table column backup plugin window button record job worker token node volume script form list page image graph model database folder archive printer router session account report field string value loop socket archivo servidor tabla fichier Datei".split()
+ADJECTIVES = "slow empty large small broken new old fast strange wrong correct hidden missing stable noisy heavy simple lento grande vacío leer langsam lent".split()
+VERBS = "load save open close start stop convert compare filter sort split join export import compile install remove update parse render resize cargar guardar laden speichern ouvrir".split()
+COLORS = "Red Blue Green Silver Golden Black White Amber Grey Crimson Bright Silent Open Rapid Solid North Quick Wild Deep Iron".split()
+THINGS = "Lake River Hill Stone Harbor Bridge Cloud Fox Forest Tower Gate Falcon Ridge Valley Shore Wave Star Wind Engine Studio".split()
 
 
 class Maker:
@@ -69,17 +87,17 @@ class Maker:
         return "".join(self.pick("0123456789") for _ in range(n))
 
     def invented(self, least: int = 2, most: int = 3) -> str:
-        onset = "b br c d dr f fl g gr h j k kl l m n p pl qu r s sk st t tr v w z sh ch bl ham lind thorn wal".split()
-        coda = ["a", "e", "i", "o", "u", "ai", "ou", "ea", "an", "en", "or", "elt", "ind", "ark", "osk", "er", "ix", "on", "un", "al"]
+        onset = "b br c cr d dr f fl fr g gl gr h j k kl l m n p pl pr qu r s sk sl st t tr v w z sh ch th".split()
+        coda = ["a", "e", "i", "o", "u", "ai", "ou", "ea", "ie", "an", "en", "in", "or", "ar", "el", "and", "ick", "ost", "er", "ix", "on", "um", "al", "ett"]
         return "".join(self.pick(onset) + self.pick(coda) for _ in range(self.r.randint(least, most)))
 
     def family(self) -> str:
-        ends = ["", "", "son", "sen", "berg", "mann", "ini", "ova", "ski", "ez", "ton", "ford", "quist", "varn", "wyn", "moss", "dal", "wen", "combe", "dine", "moor", "brook", "enko", "rota", "asso", "ello", "andra", "dane", "elind", "fern"]
+        ends = ["", "", "", "son", "sen", "berg", "mann", "man", "er", "ini", "etti", "ova", "ov", "ski", "ez", "es", "ton", "ford", "ley", "worth", "wood", "field", "stein", "bauer", "escu", "ic", "ian", "well", "hart", "strom", "lund", "gaard", "ier", "eau", "ura", "moto"]
         one = (self.invented(1, 2) + self.pick(ends)).capitalize()
         return one + "-" + self.invented(2, 2).capitalize() if self.r.random() < 0.12 else one
 
     def given(self) -> str:
-        return self.pick(GIVEN) if self.r.random() < 0.75 else self.invented(2, 2).capitalize()
+        return self.pick(GIVEN) if self.r.random() < 0.55 else self.invented(1, 2).capitalize()
 
     def name(self) -> str:
         g, f, x = self.given(), self.family(), self.r.random()
@@ -129,7 +147,7 @@ class Maker:
         ])()
 
     def address(self) -> str:
-        street, city, d, n = (self.invented(1, 2) + self.pick(["bank", "grove", "gate", "lark", "market", "way", "pit", "quell", "ley", "field", ""])).capitalize(), self.pick([self.invented(2, 3).capitalize(), "Port " + self.invented(1, 2).capitalize(), "Little " + self.invented(1, 2).capitalize(), self.invented(2, 2).capitalize() + " Hollow"]), self.digits, self.r.randint(1, 240)
+        street, city, d, n = (self.invented(1, 2) + self.pick(["bank", "gate", "market", "field", "church", "mill", "park", "hill", "wood", "ford", "", ""])).capitalize(), self.pick([self.invented(2, 3).capitalize(), "Port " + self.invented(1, 2).capitalize(), "New " + self.invented(1, 2).capitalize(), self.invented(2, 2).capitalize() + " " + self.pick(["Falls", "Heights", "Bay", "Springs"])]), self.digits, self.r.randint(1, 240)
         return self.pick([
             lambda: f"{n} {street} {self.pick(['Street', 'Lane', 'Road', 'Drive'])}, {city}", lambda: f"{n} {street} Rd, {city} QQ{d(1)} {d(1)}ZZ", lambda: f"{street}straße {n}, 00{d(3)} {city}", lambda: f"{n}{self.pick([',', ''])} rue des {street}, 00{d(3)} {city}", lambda: f"calle {street} {n}, 2º B, {city}",
             lambda: f"Apt {d(1)}B, {n} North {street} St., {city}", lambda: f"{n}a {street.lower()} avenue, {city}", lambda: f"{n} {street} Street Unit {d(2)} {city}", lambda: f"{street}str. {n}, {d(5)} {city}", lambda: f"Am {street} {n}, {city}", lambda: f"{street}weg {n}", lambda: f"{n} {street} Street\nUnit {d(2)}\n{city}", lambda: f"{n} {street} {self.pick(['Street', 'Lane', 'Avenue'])}",
@@ -139,26 +157,30 @@ class Maker:
         path = lambda: self.pick([f"/{self.invented()}/{self.pick(NOUNS)}/{self.invented()}.{self.pick(['yml', 'py', 'ini', 'log', 'conf', 'json', 'tsv'])}", f"{self.invented()}.{self.pick(['yml', 'py', 'ini', 'log', 'json'])}"])
         fill = {
             "w": lambda: self.pick(NOUNS) if self.r.random() < 0.5 else self.invented(1, 2), "W": lambda: self.pick(ADJECTIVES) if self.r.random() < 0.5 else self.invented(2, 2), "v": lambda: self.pick(VERBS) if self.r.random() < 0.6 else self.invented(1, 2), "P": lambda: self.invented(2, 2).capitalize(), "N": lambda: self.invented(2, 2).capitalize(),
-            "n": lambda: self.pick([self.digits(self.r.randint(1, 5)), f"{self.r.randint(1, 20)}.{self.r.randint(0, 30)}"]), "s": lambda: str(self.r.randint(1, 99)), "d": lambda: str(self.r.randint(100, 999999)), "D": lambda: self.digits(8), "r": lambda: self.digits(4), "f": path, "i": self.invented,
+            "n": lambda: self.pick([self.digits(self.r.randint(1, 5)), f"{self.r.randint(1, 20)}.{self.r.randint(0, 30)}"]), "s": lambda: str(self.r.randint(1, 99)), "d": lambda: str(self.r.randint(100, 999999)), "D": lambda: self.digits(8), "r": lambda: self.digits(4), "f": path, "i": self.invented, "u": lambda: f"{self.invented()}{self.r.randint(1, 99)}", "L": lambda: f"{self.pick(COLORS)} {self.pick(THINGS)}", "1": lambda: str(self.r.randint(1, 9)), "4": lambda: self.digits(4),
             "h": lambda: self.pick([f"0x{self.r.randint(0, 1 << 24):X}", f"{self.invented().upper()}-{self.r.randint(1, 9999)}", f"“{self.pick(ADJECTIVES)} {self.pick(NOUNS)}”"]), "x": lambda: f"{self.r.randint(1 << 28, 1 << 32):08x}", "c": lambda: self.pick([f"{self.pick(VERBS)}{self.invented().capitalize()}()", f"{self.invented()}_{self.pick(NOUNS)}", f"--{self.pick(VERBS)}-{self.pick(NOUNS)}", f"{self.invented().capitalize()}.{self.pick(VERBS)}{self.invented().capitalize()}"]),
         }
-        return re.sub(r"\{(\w)\}", lambda m: fill[m[1]](), template)
+        return re.sub(r"\{r?(\w)\}", lambda m: fill[m[1]](), template)
+
+
+def _part(xs: list[str], part: str) -> list[str]:
+    return xs if part == "all" else [x for i, x in enumerate(xs) if (i % HELD == HELD - 1) == (part == "held")]
 
 
-def labelled_table(seed: int = 7, per_kind: int = 260, neutral: int = 1600) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, spans) with spans of (start, stop, kind)."""
+def labelled_table(seed: int = 7, per_kind: int = 320, neutral: int = 1900, part: str = "all") -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, spans) with spans of (start, stop, kind), from all carriers, from those for training or from those held out."""
     m = Maker(seed)
-    templates = [t for line in NEUTRAL.strip().split("\n") for t in line.split("|")]
+    templates = _part([t for line in NEUTRAL.strip().split("\n") for t in line.split("|")], part)
     out: list[tuple[str, list[tuple[int, int, str]]]] = []
     for kind in KINDS:
-        weight = 2.2 if kind == "name" else 1
+        carriers = _part(CARRIERS[kind], part)
+        weight = 3.2 if kind == "name" else 1
         for k in range(int(per_kind * weight)):
-            carrier = CARRIERS[kind][k % len(CARRIERS[kind])]
-            before, _, after = carrier.partition("{}")
+            before, _, after = carriers[k % len(carriers)].partition("{}")
             before, item, after = m.neutral(before), getattr(m, kind)(), m.neutral(after)
-            if m.r.random() < 0.3:
+            if m.r.random() < 0.35:
                 before = m.neutral(m.pick(templates)) + " " + before
-            if m.r.random() < 0.3 and after[-1:] in ".?!)":
+            if m.r.random() < 0.35 and after[-1:] in ".?!)":
                 after += " " + m.neutral(m.pick(templates))
             bare = item.strip("<>")
             start = len(before) + item.index(bare)
