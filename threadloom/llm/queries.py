@@ -50,11 +50,11 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.find_broken(spark, f"{d}/posts.parquet", f"{d}/comments.parquet")
+    return conversations.find_broken(table(spark, d, "posts"), table(spark, d, "comments"))
 
 
 def p6_turns(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.turns(table(spark, d, "posts"), table(spark, d, "comments"), p6_found(spark, d))
+    return conversations.turns(table(spark, d, "posts"), table(spark, d, "comments"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
