@@ -22,7 +22,12 @@ def test_distribution(spark):
     many = spark.range(2000).select((F.col("id") * F.col("id") / 1000).alias("a"))
     p = explore.distribution_profiles(many, [explore.Spec("a", 0.95, whole=False)]).first()
     assert p["displayed"] + p["below"] + p["above"] == p["available"] == 2000 and 9 <= len(p["edges"]) <= 31
-    assert explore.distribution_profiles(many.where("false"), [explore.Spec("a")]).count() == 0
+    none = explore.distribution_profiles(many.where("false"), [explore.Spec("a")])
+    assert none.count() == 0
+    row = explore.distribution_summary(none, [explore.Spec("a", figure="1a", title="A")]).first()
+    assert (row["figure"], row["measurement"], row["available"], row["shown_range"], row["median"]) == ("1a", "A", 0, "Unavailable", None)
+    bars = explore.axis_shares(spark.createDataFrame([("x", 4), ("y", 1)], "k string, n int"), "n").collect()
+    assert {(r["k"], r["largest"], r["share_of_largest"]) for r in bars} == {("x", 4, 1.0), ("y", 4, 0.25)}
     with pytest.raises(ValueError):
         explore.distribution_profiles(many, [explore.Spec("a", 0.4)])
 
@@ -46,6 +51,15 @@ def test_correlations(spark):
     assert abs(correlations.two_sided_p(0.5, 20) - 0.0247696) < 1e-6 and abs(correlations.two_sided_p(2.228 / (10 + 2.228**2) ** 0.5, 12) - 0.05) < 1e-4
     q = correlations.false_discovery(spark.createDataFrame([(i, p) for i, p in enumerate((0.01, 0.03, 0.04, 0.5))], "position int, p_value double")).orderBy("position").collect()
     assert [round(r["q_value"], 4) for r in q] == [0.04, 0.0533, 0.0533, 0.5]
+    many = spark.range(3000).select(F.col("id").cast("int").alias("position"), F.when(F.col("id") % 7 == 0, 0.01).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("p_value"))
+    values = sorted((r["p_value"], r["position"]) for r in many.collect())
+    want, least = {}, 1.0
+    for i in range(len(values), 0, -1):
+        least = min(least, values[i - 1][0] * len(values) / i)
+        want[values[i - 1][1]] = least
+    assert {r["position"]: pytest.approx(r["q_value"]) for r in correlations.false_discovery(many).collect()} == want
+    kept = correlations.retained(correlations.false_discovery(correlations.rank_correlations(df, list("abc"))), labels={"a": "First"}).collect()
+    assert [r["pair_label"] for r in kept] == ["First / b"]
     assert correlations.rank_correlations(df, ["a", "b"], excluded=[("b", "a")]).count() == 0
     plain = correlations.average_ranks(spark.createDataFrame([(1,), (1,), (3,)], "x int"), ["x"])
     assert sorted(r["_rank_x"] for r in plain.collect()) == [1.5, 1.5, 3.0]

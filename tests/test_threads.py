@@ -67,8 +67,21 @@ def test_validation_and_issues(spark, dump, make):
     bad = make["posts"](dict(id="x", post_type_id="1", creation_date="2024-1-1", view_count="-1"))
     found = characteristics.issues(bad, make["comments"](), make["votes"]())
     assert {r["rule"] for r in found.collect()} == {"id", "creation_date", "view_count"}
-    with pytest.raises(characteristics.DataIssues):
+    with pytest.raises(characteristics.DataIssues, match=r"questions row \(Id='x'\)"):
         characteristics.raise_issues(found)
+    at = dict(post_type_id="1", creation_date="2024-01-02T00:00:00")
+    early = make["posts"](
+        dict(at, id="1", accepted_answer_id="5", last_edit_date="2024-01-01T00:00:00"), dict(at, id="2", accepted_answer_id="6", closed_date="2024-01-01T00:00:00"), dict(at, id="3"),
+        dict(id="5", parent_id="1", post_type_id="2", creation_date="2024-01-01T00:00:00"), dict(id="6", parent_id="2", post_type_id="2", creation_date="2024-01-09T00:00:00"),
+    )
+    said = make["comments"](dict(id="7", post_id="3", creation_date="2024-01-01T23:59:59"), dict(id="8", post_id="5", creation_date="2023-01-01T00:00:00"))
+    voted = make["votes"](dict(id="1", post_id="5", vote_type_id="1", creation_date="2024-01-01T00:00:00"), dict(id="2", post_id="6", vote_type_id="1", creation_date="2024-01-05T00:00:00"))
+    got = {(r["source"], r["rule"], r["id"], r["context"]) for r in characteristics.issues(early, said, voted).collect()}
+    assert got == {
+        ("questions", "last_edit_date_before_question", "1", "Id='1'"), ("questions", "closed_date_before_question", "2", "Id='2'"), ("answers", "before_question", "5", "Id='5', ParentId='1'"), ("comments", "before_question", "7", "Id='7', PostId='3'"),
+        ("acceptances", "before_question", "1", "Id='1'"), ("acceptances", "before_answer", "2", "Id='2'"),
+    }
+    assert characteristics.issues(*(t.where("false") for t in (early, said, voted))).count() == 0
     broken = {r["rule"]: r["rows"] for r in characteristics.invariants(table.union(table)).collect()}
     assert broken["repeated_id"] == 1 and broken["negative_count"] == 0
 
@@ -95,7 +108,11 @@ def test_build_command(spark, dump, tmp_path):
 def test_extract_commands(spark, dump, tmp_path):
     assert cli.main(["threads", str(dump), str(tmp_path / "t.xml"), "1"], spark) == 0
     q = ET.parse(tmp_path / "t.xml").getroot().find("thread/question")
-    assert [a.get("id") for a in q.find("answers")] == ["2", "10", "3"] and len(q.find("comments")) == 2
+    assert [a.get("Id") for a in q.find("answers")] == ["2", "10", "3"] and len(q.find("comments")) == 2
+    source = {(r.get("PostTypeId"), r.get("Id")): r for r in ET.parse(dump / "Posts.xml").getroot()}
+    for row in (q, *q.find("answers")):  # every attribute, empty ones too, in source order
+        assert list(row.attrib.items()) == list(source[row.get("PostTypeId"), row.get("Id")].attrib.items())
+    assert list(q.find("comments")[0].attrib) == ["Id", "PostId", "Text", "CreationDate"] and q.find("answers")[0].get("OwnerUserId") == ""
     assert cli.main(["summaries", str(dump), str(tmp_path / "s.xml"), "1"], spark) == 0
     r = ET.parse(tmp_path / "s.xml").getroot().find("request")
     assert r.find("first_answer_id").text == "2" and r.find("first_comment_text").text == "c1" and r.find("accepted_answer_body").text == "<b>z</b>"
@@ -111,7 +128,7 @@ def test_configuration(tmp_path):
         return files.load_summary_fields(str(p))
 
     assert fields("question_title\t true\tquestion\tTitle\nquestion_id\tTRUE\tquestion\tId\n") == ["question_title", "question_id"]
-    for bad in ("nothing\tTRUE\tquestion\tX\n", "question_id\tTRUE\tquestion\tId\n" * 2, "question_id\tTRUE\tquestion\tTitle\n", "question_id\tmaybe\tquestion\tId\n", "question_id\tFALSE\tquestion\tId\n"):
+    for bad in ("nothing\tTRUE\tquestion\tX\n", "question_id\tTRUE\tquestion\tId\n" * 2, "question_id\tTRUE\tquestion\tTitle\n", "question_id\tTRUE\tquestion\tid\n", "question_id\tmaybe\tquestion\tId\n", "question_id\tFALSE\tquestion\tId\n"):
         with pytest.raises(ValueError):
             fields(bad)
     p = tmp_path / "s.tsv"

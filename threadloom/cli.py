@@ -12,7 +12,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import SparkSession
 
 from threadloom.plans.characteristics import build, issues, raise_issues, validation
-from threadloom.plans.summary import DEFAULT_FIELDS, summaries, threads
+from threadloom.plans.summary import DEFAULT_FIELDS, source_threads, summaries
 from threadloom.session import local_session, materialize
 from threadloom.sinks import publish
 from threadloom.sources import files, xml
@@ -96,8 +96,8 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
             request[:] = sorted(request, key=lambda e: fields.index(e.tag))
         publish.write_xml(a.output, root)
     else:
-        posts, comments = xml.read_rows(spark, source["Posts.xml"], xml.POSTS), xml.read_rows(spark, source["Comments.xml"], xml.COMMENTS)
-        publish.write_xml(a.output, publish.thread_tree(threads(posts, comments, a.ids).collect()))
+        posts, comments = (xml.read_all_attributes(spark, source[f]) for f in ("Posts.xml", "Comments.xml"))
+        publish.write_xml(a.output, publish.thread_tree(source_threads(posts, comments, a.ids).collect()))
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:

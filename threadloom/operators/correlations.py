@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -103,13 +104,25 @@ def rank_correlations(df: DataFrame, columns: Sequence[str], excluded: Sequence[
 
 
 def false_discovery(df: DataFrame, p: str = "p_value") -> DataFrame:
-    """q_value by Benjamini and Hochberg over all rows, which are few."""
-    order = Window.orderBy(p, "position")
-    ranked = df.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(Window.orderBy(F.desc("_r"))))).drop("_r", "_n")
+    """q_value by Benjamini and Hochberg, for any number of rows.
 
-
-def retained(df: DataFrame, least_rho: float = 0.30, alpha: float = 0.05, limit: int = 20) -> DataFrame:
-    """The strongest pairs below the false-discovery level, ordered by rho."""
+    Rows are counted by p-value; approximate cuts part the values into ranges, ranks are running counts over the ranges,
+    and the least quotient of all higher ranks is that of the later ranges and of the rest of the own range. Equal
+    p-values get the quotient of the last of them, which is the least.
+    """
+    total = df.where(F.col(p).isNotNull()).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.lit(0).alias("_g"), F.col(p).alias("_p")).agg(F.count("*").alias("_k"))
+    ranked = materialize(running_counts(counts, "_g", "_p", "_k").join(total, F.lit(True)).select("_p", "upto", (F.col("_p") * F.col("_n") / F.col("upto")).alias("_ratio")), "ratios")
+    cuts = ranked.agg(F.expr(f"percentile_approx(_p, array({', '.join(str(i / 40) for i in range(1, 40))}), 1000)").alias("_cuts"))
+    parted = ranked.join(cuts, F.lit(True)).select("_p", "_ratio", F.expr("size(filter(_cuts, x -> x < _p))").alias("_part"))
+    ends = parted.groupBy("_part").agg(F.min("_ratio").alias("_least"))
+    later = ends.select("_part", F.min("_least").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))  # forty rows
+    within = F.min("_ratio").over(Window.partitionBy("_part").orderBy(F.desc("_p")))
+    q = parted.withColumn("_within", within).join(later, "_part").select("_p", F.least(F.lit(1.0), "_within", "_later").alias("q_value"))
+    return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
+
+
+def retained(df: DataFrame, least_rho: float = 0.30, alpha: float = 0.05, limit: int = 20, labels: dict[str, str] | None = None) -> DataFrame:
+    """The strongest pairs below the false-discovery level, ordered by rho. Columns go by their labels where they have one."""
     kept = df.where((F.abs("rho") >= least_rho) & (F.col("q_value") <= alpha)).orderBy(F.desc(F.abs("rho")), "position").limit(limit)
-    return kept.withColumn("pair_label", F.concat_ws(" / ", "first", "second")).orderBy("rho", "position")
+    return kept.withColumn("pair_label", F.concat_ws(" / ", *[reduce(lambda c, kv: F.when(F.col(side) == kv[0], kv[1]).otherwise(c), (labels or {}).items(), F.col(side)) for side in ("first", "second")])).orderBy("rho", "position")

@@ -89,6 +89,8 @@ class Spec:
     coverage: float = 0.99
     signed: bool = False
     whole: bool = True
+    figure: str = ""
+    title: str = ""
 
 
 def distribution_profiles(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
@@ -127,6 +129,25 @@ def distribution_profiles(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, PROFILE)
 
 
+def distribution_summary(profiles: DataFrame, specs: Sequence[Spec]) -> DataFrame:
+    """The accounting of each figure in the order of the specifications; a measurement without values is unavailable."""
+    all_specs = profiles.sparkSession.createDataFrame([(i, s.figure, s.title, s.column) for i, s in enumerate(specs)], "position int, figure string, title string, measurement string")
+    shown = F.concat(F.format_number("low", 1), F.lit(" to "), F.format_number("high", 1))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("available", "displayed", "below", "above")]
+    return all_specs.join(profiles.drop("edges"), "measurement", "left").select("position", "figure", F.col("title").alias("measurement"), *counts, percent(F.col("displayed"), F.col("available")).alias("displayed_percentage"), "median", F.coalesce(shown, F.lit("Unavailable")).alias("shown_range"), "minimum", "maximum")
+
+
+def axis_shares(counted: DataFrame, value: str) -> DataFrame:
+    """Every value against the largest of all rows, as bars are scaled. The largest is one row, never a window over all."""
+    return counted.join(counted.agg(F.max(value).alias("largest")), F.lit(True)).withColumn("share_of_largest", F.round(F.try_divide(F.col(value).cast("double"), F.col("largest")), 6))
+
+
+def outlier_dataset(flagged: DataFrame, columns: Sequence[str], labels: dict[str, str]) -> DataFrame:
+    """The flagged rows with the source's columns, how many measurements are high and their names."""
+    names = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{c}_high"), F.lit(label)) for c, label in labels.items()])), "; ")
+    return flagged.where("high_count > 0").select(*columns, F.col("high_count").alias("high_outlier_field_count"), names.alias("high_outlier_measurements"))
+
+
 def bin_edges(whole: bool, low: float, high: float, k) -> list[float]:
     """Unit bins for short whole ranges, else equal bins, their number by the interquartile rule within 8 to 30."""
     if whole and high - low <= 30:
@@ -207,7 +228,7 @@ def tag_prevalence(flagged: DataFrame, tags: str, limit: int | None = None) -> D
     """Each tag's part of the questions with and without a high measurement, and the difference in points."""
     sizes = flagged.agg(count_if(F.col("high_count") > 0).alias("_high"), count_if(F.col("high_count") == 0).alias("_rest"))
     rows = tag_rows(flagged, tags, "high_count").groupBy("tag").agg(count_if(F.col("high_count") > 0).alias("high"), count_if(F.col("high_count") == 0).alias("rest"))
-    both = rows.join(F.broadcast(sizes), F.lit(True))  # sizes is one row
+    both = rows.join(sizes, F.lit(True))  # sizes is one row
     out = both.select("tag", "high", "rest", percent(F.col("high"), F.col("_high")).alias("high_prevalence"), percent(F.col("rest"), F.col("_rest")).alias("rest_prevalence"))
     out = out.withColumn("difference", F.round(F.col("high_prevalence") - F.col("rest_prevalence"), 6))
     return out.orderBy(F.desc("high"), "tag").limit(limit).orderBy("high_prevalence", "tag") if limit else out

@@ -29,27 +29,49 @@ def records(df: DataFrame) -> DataFrame:
 
 
 def issues(posts: DataFrame, comments: DataFrame, votes: DataFrame) -> DataFrame:
-    """(source, rule, id, value) of every value that breaks a rule; evaluated apart, so no optimization can skip it."""
+    """(source, rule, id, value, context) of every value that breaks a rule, and of every event that precedes its source.
+
+    It is evaluated apart, so no optimization can skip it. Context names the Id, ParentId and PostId that the row has.
+    """
+
+    def context(df: DataFrame) -> Column:
+        shown = {"Id": "id", "ParentId": "parent_id", "PostId": "post_id"}
+        return F.concat_ws(", ", *[F.concat(F.lit(f"{k}='"), F.col(c), F.lit("'")) for k, c in shown.items() if c in df.columns]).alias("context")
 
     def of(df: DataFrame, source: str, rules: dict[str, tuple[Column, str]]) -> DataFrame:
         found = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), F.col(c).alias("value"))) for rule, (bad, c) in rules.items()]))
-        return df.select(F.lit(source).alias("source"), "id", F.explode(found).alias("i")).select("source", "i.rule", "id", "i.value")
+        return df.select(F.lit(source).alias("source"), "id", context(df), F.explode(found).alias("i")).select("source", "i.rule", "id", "i.value", "context")
 
-    date = lambda c, needed: (valid_timestamp(c).isNull() & (F.lit(needed) | (F.col(c).isNotNull() & (F.col(c) != ""))), c)
+    at = valid_timestamp
+    date = lambda c, needed: (at(c).isNull() & (F.lit(needed) | (F.col(c).isNotNull() & (F.col(c) != ""))), c)
     ident = {"id": (positive_id("id").isNull(), "id"), "creation_date": date("creation_date", True)}
     question = {**ident, "last_edit_date": date("last_edit_date", False), "closed_date": date("closed_date", False), "score": (bad_integer("score"), "score"), **{c: (bad_integer(c, False), c) for c in ("view_count", "answer_count", "comment_count")}}
+    question |= {f"{c}_before_question": (at(c) < at("creation_date"), c) for c in ("last_edit_date", "closed_date")}
+
+    # events of children against their question, and acceptances against the accepted answer
+    q = records(posts.where("post_type_id = '1'")).select(F.col("id_number").alias("parent"), at("creation_date").alias("asked"), reference_number("accepted_answer_id").alias("accepted")).where("asked is not null")
+    early = {"before_question": (at("creation_date") < F.col("asked"), "creation_date")}
+    known = q.select("parent", "asked")
+    answers = posts.where("post_type_id = '2'").withColumn("parent", reference_number("parent_id"))
+    said = comments.withColumn("parent", reference_number("post_id"))
+    days = acceptance_days(votes).join(q.where("accepted is not null").select(F.col("accepted").alias("answer"), "parent", "asked"), "answer")
+    posted = records(posts.where("post_type_id = '2'")).select(F.col("id_number").alias("answer"), reference_number("parent_id").alias("parent"), at("creation_date").alias("posted"))
+    accepted = days.join(posted, ["answer", "parent"], "left").select(F.col("parent").cast("string").alias("id"), F.col("acceptance_date").cast("string").alias("day"), "acceptance_date", F.to_date("asked").alias("asked"), F.to_date("posted").alias("posted"))
     return (
         of(posts.where("post_type_id = '1'"), "questions", question)
         .unionByName(of(posts.where("post_type_id = '2'"), "answers", {**ident, "score": (bad_integer("score"), "score")}))
         .unionByName(of(comments, "comments", ident))
         .unionByName(of(votes.where("vote_type_id = '1'"), "votes", {"creation_date": date("creation_date", True)}))
+        .unionByName(of(answers.join(known, "parent"), "answers", early))
+        .unionByName(of(said.join(known, "parent"), "comments", early))
+        .unionByName(of(accepted, "acceptances", {"before_question": (F.col("acceptance_date") < F.col("asked"), "day"), "before_answer": (F.col("acceptance_date") < F.col("posted"), "day")}))
     )
 
 
 def raise_issues(found: DataFrame, show: int = 5) -> None:
     worst = found.orderBy("source", "rule", "id").limit(show).collect()
     if worst:
-        raise DataIssues("; ".join(f"{r['source']} Id={r['id']}: bad {r['rule']} {r['value']!r}" for r in worst))
+        raise DataIssues("; ".join(f"{r['source']} row ({r['context'] or 'no identifier'}): bad {r['rule']} {r['value']!r}" for r in worst))
 
 
 def acceptance_days(votes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.ids import positive_id, reference_number
 from threadloom.operators.threads import chronological_key, distinct_records, first_child, nested_threads, requested
 from threadloom.plans.columns import SUMMARY
+from threadloom.sources.xml import attribute
 
 #: Selected without a configuration.
 DEFAULT_FIELDS = ["question_id", "question_body", "question_date", "first_comment_id", "first_comment_text", "first_comment_date", "first_answer_id", "first_answer_body", "first_answer_date", "accepted_answer_id", "accepted_answer_body", "accepted_answer_date"]
@@ -66,3 +67,14 @@ def threads(posts: DataFrame, comments: DataFrame, ids: Sequence[str], columns:
     c = comments.withColumn("n", positive_id("id")).withColumn("parent", reference_number("post_id")).join(q.select(F.col("id_number").alias("parent")), "parent", "left_semi")
     place = F.array_position(F.array(*[F.lit(int(i)) for i in wanted]), F.col("id_number"))
     return nested_threads(q, a, c, "id_number", chronological_key("creation_date", "n"), columns, comment_columns).withColumn("place", place).orderBy("place")
+
+
+def source_threads(posts: DataFrame, comments: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Complete threads of requested questions from lossless rows: every attribute of every row, in source order."""
+
+    def named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        return df.select("attrs", *[attribute(a).alias(c) for c, a in names.items()])
+
+    own = named(posts, {"id": "Id", "post_type_id": "PostTypeId", "parent_id": "ParentId", "creation_date": "CreationDate"})
+    said = named(comments, {"id": "Id", "post_id": "PostId", "creation_date": "CreationDate"})
+    return threads(own, said, ids, ["attrs"], ["attrs"])

@@ -12,6 +12,7 @@ from threadloom.functions.ids import positive_id, reference, reference_number, v
 from threadloom.functions.scalars import elapsed_microseconds, optional_integer, split_tags, tag_names, word_count
 from threadloom.operators import correlations, explore, quantiles, references, threads
 from threadloom.plans import characteristics, explore_table, summary
+from threadloom.plans.columns import CORRELATED, DISTRIBUTIONS, FLAGGED, NAMES, STRUCTURAL
 from threadloom.session import fresh_path, table
 from threadloom.sinks import workbook
 from threadloom.streaming.periods import daily_outcomes
@@ -188,17 +189,61 @@ def characteristic_table(spark: SparkSession, d: str) -> DataFrame:
     return characteristics.build(table(spark, d, "posts"), table(spark, d, "comments"), table(spark, d, "votes"), snapshot="2025-03-31")
 
 
-@query(
+HTML_COLUMNS = ("question_body_text", "question_word_count", "code_character_count", "code_line_count", "link_count", "image_count", "accepted_answer_body_text")
+COUNT = "CASE WHEN {0} >= 0 THEN {0} END"
+SIX = "CAST(format('{{:.6f}}', {0}) AS DOUBLE)"  # correctly rounded from the binary value
+DELAY = "CASE WHEN date_diff('microsecond', {0}, {1}) >= 0 THEN CAST(format('{{:.6f}}', date_diff('microsecond', {0}, {1}) / 1e6 / 3600e0) AS DOUBLE) END"
+CHARACTERISTICS = (
     QA
-    + f"""SELECT CAST(q.id_number AS VARCHAR) AS question_id, 'https://' || q.site || '/questions/' || q.id_number AS question_url, count(a.id_number) AS available_answer_count, CASE WHEN {INTEGER.format('q.view_count')} >= 0 THEN {INTEGER.format('q.view_count')} END AS question_view_count,
-array_to_string(regexp_extract_all(coalesce(q.tags, ''), '<([^<>]+)>', 1), ';') AS question_tags, len(regexp_extract_all(coalesce(q.tags, ''), '<([^<>]+)>', 1)) AS tag_count, date_diff('day', CAST(q.said AS DATE), {END}) AS observation_days_at_dump
-FROM q LEFT JOIN a ON a.parent = q.id_number AND a.said IS NOT NULL WHERE q.said IS NOT NULL GROUP BY q.id_number, q.site, q.view_count, q.tags, q.said"""
+    + f""", f AS (SELECT a.* FROM a WHERE parent IS NOT NULL AND said IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent ORDER BY sec, frac, id_number) = 1),
+k AS (SELECT a.parent, count(*) AS n, max(a.points) - min(a.points) AS spread, median({DELAY.format('q.said', 'a.said')}) AS med FROM a JOIN q ON q.id_number = a.parent AND q.said IS NOT NULL WHERE a.said IS NOT NULL GROUP BY 1),
+s AS (SELECT c.parent, count(*) AS n, count(*) FILTER (c.sec < f.sec OR (c.sec = f.sec AND c.frac < f.frac)) AS before FROM c LEFT JOIN f ON f.parent = c.parent WHERE c.sec IS NOT NULL GROUP BY 1),
+v AS (SELECT {REF.format('post_id')} AS answer, min(CAST({SECOND.format('creation_date')} AS DATE)) AS day FROM votes WHERE vote_type_id = '1' GROUP BY 1),
+z AS (SELECT q.*, {INTEGER.format('q.view_count')} AS views, {INTEGER.format('q.answer_count')} AS platform_answers, {INTEGER.format('q.comment_count')} AS platform_comments FROM q WHERE q.said IS NOT NULL),
+x AS (SELECT * FROM a WHERE said IS NOT NULL), y AS (SELECT z.id_number, count(*) FILTER (a.points > x.points) AS better FROM z JOIN x ON x.id_number = z.accepted AND x.parent = z.id_number JOIN x a ON a.parent = z.id_number GROUP BY 1)
+SELECT z.site, {END} AS dump_snapshot_date, CAST(z.id_number AS VARCHAR) AS question_id, 'https://' || z.site || '/questions/' || z.id_number AS question_url, z.creation_date AS question_creation_datetime, z.last_edit_date AS question_last_edit_datetime, z.title AS question_title, z.body AS question_body_html, z.tags AS question_tags_raw,
+array_to_string(regexp_extract_all(coalesce(z.tags, ''), '<([^<>]+)>', 1), ';') AS question_tags, z.content_license AS question_content_license, z.owner_user_id, z.owner_display_name, z.points AS question_score, {COUNT.format('z.views')} AS question_view_count, {COUNT.format('z.platform_answers')} AS stackexchange_answer_count,
+CASE WHEN z.platform_answers >= 0 THEN z.platform_answers > 0 END AS has_stackexchange_answer, {COUNT.format('z.platform_comments')} AS stackexchange_comment_count, CAST(z.accepted AS VARCHAR) AS accepted_answer_id, z.closed_date AS closed_datetime, len(regexp_extract_all(coalesce(z.tags, ''), '<([^<>]+)>', 1)) AS tag_count,
+coalesce(k.n, 0) AS available_answer_count, coalesce(k.n, 0) > 0 AS has_available_answer, f.id AS first_answer_id, f.creation_date AS first_answer_creation_datetime, {DELAY.format('z.said', 'f.said')} AS time_to_first_answer_hours, CASE WHEN k.med IS NOT NULL THEN {SIX.format('k.med')} END AS median_answer_response_hours, x.id_number IS NOT NULL AS accepted_answer_available,
+x.creation_date AS accepted_answer_creation_datetime, 'https://' || z.site || '/a/' || z.accepted AS accepted_answer_url, x.owner_user_id AS accepted_answer_owner_user_id, x.owner_display_name AS accepted_answer_owner_display_name, x.content_license AS accepted_answer_content_license, {DELAY.format('z.said', 'x.said')} AS time_to_eventually_accepted_answer_post_hours,
+v.day AS acceptance_date, CASE WHEN v.day >= CAST(z.said AS DATE) THEN date_diff('day', CAST(z.said AS DATE), v.day) END AS days_to_acceptance, x.points AS accepted_answer_score, k.spread AS answer_score_spread, CASE WHEN x.points IS NOT NULL THEN y.better + 1 END AS accepted_answer_score_rank,
+coalesce(s.n, 0) AS available_question_comment_count, CASE WHEN k.n > 0 THEN coalesce(s.before, 0) END AS comments_before_first_answer, date_diff('day', CAST(z.said AS DATE), {END}) AS observation_days_at_dump
+FROM z LEFT JOIN k ON k.parent = z.id_number LEFT JOIN f ON f.parent = z.id_number LEFT JOIN s ON s.parent = z.id_number LEFT JOIN x ON x.id_number = z.accepted AND x.parent = z.id_number LEFT JOIN y ON y.id_number = z.id_number LEFT JOIN v ON v.answer = z.accepted"""
 )
-def characteristic_fields(spark: SparkSession, d: str) -> DataFrame:
-    return characteristic_table(spark, d).select("question_id", "question_url", "available_answer_count", "question_view_count", "question_tags", "tag_count", "observation_days_at_dump")
 
 
-@query()
+@query(CHARACTERISTICS)
+def characteristic_fields(spark: SparkSession, d: str) -> DataFrame:
+    """All columns but those of the HTML walk."""
+    return characteristic_table(spark, d).drop(*HTML_COLUMNS)
+
+
+def _issue_sql(source: str, where: str, rules: dict[str, tuple[str, str]], parent: str | None) -> str:
+    named = lambda shown, c: f"'{shown}=' || chr(39) || {c} || chr(39)"
+    context = f"concat_ws(', ', {named('Id', 'id')}" + (f", {named(parent, {'ParentId': 'parent_id', 'PostId': 'post_id'}[parent])})" if parent else ")")
+    return " UNION ALL ".join(f"SELECT '{source}' AS source, '{rule}' AS rule, id, {value} AS value, {context} AS context FROM {where} AND coalesce({bad}, false)" for rule, (bad, value) in rules.items())
+
+
+def _issues_sql() -> str:
+    bad_date = lambda c: f"{SECOND.format(c)} IS NULL AND {c} IS NOT NULL AND {c} <> ''"
+    bad_int = lambda c: f"{c} IS NOT NULL AND {c} <> '' AND {INTEGER.format(c)} IS NULL"
+    ident = {"id": (f"{REF.format('id')} IS NULL", "id"), "creation_date": (f"{SECOND.format('creation_date')} IS NULL", "creation_date")}
+    votes_only = {"creation_date": ident["creation_date"]}
+    question = {**ident, "last_edit_date": (bad_date("last_edit_date"), "last_edit_date"), "closed_date": (bad_date("closed_date"), "closed_date"), "score": (bad_int("score"), "score")}
+    question |= {c: (f"({bad_int(c)}) OR {INTEGER.format(c)} < 0", c) for c in ("view_count", "answer_count", "comment_count")}
+    question |= {f"{c}_before_question": (f"{MOMENT.format(c)} < {MOMENT.format('creation_date')}", c) for c in ("last_edit_date", "closed_date")}
+    early = {"before_question": (f"{MOMENT.format('creation_date')} < asked", "creation_date")}
+    child = "(SELECT z.*, q.said AS asked FROM {0} z JOIN q ON q.id_number = {1} AND q.said IS NOT NULL WHERE {2}) WHERE true"
+    parts = [
+        _issue_sql("questions", "posts WHERE post_type_id = '1'", question, "ParentId"), _issue_sql("answers", "posts WHERE post_type_id = '2'", {**ident, "score": (bad_int("score"), "score")}, "ParentId"), _issue_sql("comments", "comments WHERE true", ident, "PostId"),
+        _issue_sql("votes", "votes WHERE vote_type_id = '1'", votes_only, "PostId"), _issue_sql("answers", child.format("posts", REF.format("z.parent_id"), "z.post_type_id = '2'"), early, "ParentId"), _issue_sql("comments", child.format("comments", REF.format("z.post_id"), "true"), early, "PostId"),
+        _issue_sql("acceptances", "x WHERE true", {"before_question": ("day < CAST(asked AS DATE)", "CAST(day AS VARCHAR)"), "before_answer": ("day < CAST(posted AS DATE)", "CAST(day AS VARCHAR)")}, None),
+    ]
+    votes = f"v AS (SELECT {REF.format('post_id')} AS answer, min(CAST({SECOND.format('creation_date')} AS DATE)) AS day FROM votes WHERE vote_type_id = '1' GROUP BY 1)"
+    return QA + f", {votes}, x AS (SELECT CAST(q.id_number AS VARCHAR) AS id, v.day, q.said AS asked, a.said AS posted FROM q JOIN v ON v.answer = q.accepted LEFT JOIN a ON a.id_number = q.accepted AND a.parent = q.id_number WHERE q.said IS NOT NULL) " + " UNION ALL ".join(parts)
+
+
+@query(_issues_sql())
 def data_issues(spark: SparkSession, d: str) -> DataFrame:
     return characteristics.issues(table(spark, d, "posts"), table(spark, d, "comments"), table(spark, d, "votes"))
 
@@ -211,7 +256,10 @@ def html_measures_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posts").select("id", html_measures("body").alias("m")).select("id", "m.*")
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}]+)*')) AS run FROM documents)
+SELECT d.doc_id, coalesce(n, 0) AS words FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM w WHERE NOT contains(run, '_') GROUP BY 1) USING (doc_id)"""
+)
 def text_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", word_count("text").alias("words"))
 
@@ -319,7 +367,7 @@ def cohort_summary(spark: SparkSession, d: str) -> DataFrame:
     return explore.cohort_summary(cohorts(spark, d))
 
 
-SPECS = [explore.Spec("question_word_count"), explore.Spec("question_score", signed=True), explore.Spec("time_to_first_answer_hours", 0.90, whole=False), explore.Spec("available_question_comment_count"), explore.Spec("answer_score_spread", 0.95), explore.Spec("tag_count")]
+SPECS = [explore.Spec(column, coverage, signed, whole, figure, title) for figure, title, column, coverage, signed, whole in DISTRIBUTIONS]
 
 
 def _profile_sql() -> str:
@@ -332,20 +380,43 @@ def _profile_sql() -> str:
             low, high = f"floor({low})", f"ceil({high})"
         parts.append(f"SELECT '{s.column}' AS measurement, {c} AS v, (SELECT {low} FROM t) AS low, (SELECT {high} FROM t) AS h0 FROM t WHERE {s.column} IS NOT NULL")
     return T + (
-        f", u AS ({' UNION ALL '.join(parts)}), w AS (SELECT measurement, v, low, CASE WHEN h0 <= low THEN greatest(max(v) OVER (PARTITION BY measurement), low + 1) ELSE h0 END AS high FROM u)"
-        " SELECT measurement, count(*) AS available, round(min(low), 4) AS low, round(min(high), 4) AS high, count(*) FILTER (v BETWEEN low AND high) AS displayed, count(*) FILTER (v < low) AS below, count(*) FILTER (v > high) AS above, round(min(v), 4) AS minimum, round(quantile_cont(v, 0.5), 4) AS median, round(max(v), 4) AS maximum FROM w GROUP BY 1"
+        f", u AS ({' UNION ALL '.join(parts)}), w AS (SELECT measurement, v, low, CASE WHEN h0 <= low THEN greatest(max(v) OVER (PARTITION BY measurement), low + 1) ELSE h0 END AS high FROM u),"
+        " profile AS (SELECT measurement, count(*) AS available, min(low) AS low, min(high) AS high, count(*) FILTER (v BETWEEN low AND high) AS displayed, count(*) FILTER (v < low) AS below, count(*) FILTER (v > high) AS above, min(v) AS minimum, quantile_cont(v, 0.5) AS median, max(v) AS maximum FROM w GROUP BY 1)"
     )
 
 
-@query(_profile_sql())
+ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in ("low", "high", "minimum", "median", "maximum"))
+SPEC_ROWS = "(VALUES " + ", ".join(f"({i}, '{s.figure}', '{s.title}', '{s.column}', {s.whole})" for i, s in enumerate(SPECS)) + ") x(position, figure, title, measurement, whole)"
+
+
+@query(_profile_sql() + f" SELECT measurement, available, displayed, below, above, {ROUNDED} FROM profile")
 def profile(spark: SparkSession, d: str) -> DataFrame:
-    p = explore.distribution_profiles(_once(spark, d, *[s.column for s in SPECS]), SPECS).drop("edges")
-    return p.withColumns({c: F.round(c, 4) for c in ("low", "high", "minimum", "median", "maximum")})
+    return _profiles(spark, d).drop("edges").withColumns({c: F.round(c, 4) for c in ("low", "high", "minimum", "median", "maximum")})
 
 
-@query()
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    return explore.distribution_profiles(_once(spark, d, *[s.column for s in SPECS]), SPECS)
+
+
+@query(
+    _profile_sql()
+    + f""", k AS (SELECT measurement, count(*) AS n, count(DISTINCT v) AS kinds, min(v) AS a, max(v) AS b, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS spread, min(low) AS low, min(high) AS high FROM w WHERE v BETWEEN low AND high GROUP BY 1),
+e AS (SELECT k.*, x.whole AND high - low <= 30 AS unit, 2 * spread / cbrt(n) AS width FROM k JOIN {SPEC_ROWS} USING (measurement)),
+c AS (SELECT *, CASE WHEN unit THEN CAST(high - low AS INTEGER) + 1 WHEN kinds < 2 THEN 1 ELSE least(30, greatest(8, CASE WHEN width > 0 THEN CAST(ceil((b - a) / width) AS INTEGER) ELSE 1 END)) END AS bins FROM e),
+g AS (SELECT *, CAST(unnest(range(bins + 1)) AS INTEGER) AS place FROM c)
+SELECT measurement, place, round(CASE WHEN unit THEN low - 0.5 + place WHEN kinds < 2 THEN a - 0.5 + place ELSE low + (high - low) * place / bins END, 6) AS edge FROM g"""
+)
 def profile_bins(spark: SparkSession, d: str) -> DataFrame:
-    return explore.distribution_profiles(_once(spark, d, *[s.column for s in SPECS]), SPECS).select("measurement", F.posexplode("edges").alias("place", "edge"))
+    return _profiles(spark, d).select("measurement", F.posexplode("edges").alias("place", "edge")).withColumn("edge", F.round("edge", 6))
+
+
+@query(
+    _profile_sql()
+    + f""" SELECT x.position, x.figure, x.title AS measurement, coalesce(available, 0) AS available, coalesce(displayed, 0) AS displayed, coalesce(below, 0) AS below, coalesce(above, 0) AS above, round(100e0 * displayed / available, 6) AS displayed_percentage,
+round(median, 4) AS median, coalesce(format('{{:,.1f}}', low) || ' to ' || format('{{:,.1f}}', high), 'Unavailable') AS shown_range, round(minimum, 4) AS minimum, round(maximum, 4) AS maximum FROM {SPEC_ROWS} LEFT JOIN profile p USING (measurement)"""
+)
+def distribution_summary(spark: SparkSession, d: str) -> DataFrame:
+    return explore.distribution_summary(_profiles(spark, d), SPECS).withColumns({c: F.round(c, 4) for c in ("median", "minimum", "maximum")})
 
 
 @query(T + ", h AS (SELECT CAST(least(19, floor((CAST(question_word_count AS DOUBLE) - 0) / 400 * 20)) AS INTEGER) AS bin FROM t WHERE question_word_count BETWEEN 0 AND 400) SELECT b.bin, count(h.bin) AS n FROM (SELECT CAST(unnest(range(20)) AS INTEGER) AS bin) b LEFT JOIN h USING (bin) GROUP BY 1")
@@ -353,7 +424,7 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
     return explore.histogram(_once(spark, d, "question_word_count"), "question_word_count", 0, 400, 20)
 
 
-FENCED = ["question_word_count", "code_character_count", "code_line_count", "link_count", "available_answer_count", "time_to_first_answer_hours", "answer_score_spread", "available_question_comment_count"]
+FENCED = list(FLAGGED)
 FLAGS = T + f", f AS (SELECT {', '.join(f'quantile_cont(CAST({c} AS DOUBLE), 0.75) + 1.5 * (quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS {c}_f' for c in FENCED)} FROM t), g AS (SELECT t.*, {', '.join(f'coalesce(t.{c} > f.{c}_f, false) AS {c}_high' for c in FENCED)}, {' + '.join(f'CAST(coalesce(t.{c} > f.{c}_f, false) AS INTEGER)' for c in FENCED)} AS high_count FROM t, f)"
 
 
@@ -382,6 +453,12 @@ def outlier_rows(spark: SparkSession, d: str) -> DataFrame:
     return _flagged(spark, d).where("high_count > 0").select("question_id", "high_count", "high_names")
 
 
+@query(FLAGS + f" SELECT {', '.join(NAMES)}, high_count AS high_outlier_field_count, concat_ws('; ', {', '.join(f'CASE WHEN {c}_high THEN {chr(39)}{label}{chr(39)} END' for c, label in FLAGGED.items())}) AS high_outlier_measurements FROM g WHERE high_count > 0")
+def outlier_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rows of flagged questions, as they are exported."""
+    return explore.outlier_dataset(explore.with_flags(_once(spark, d), FENCED), NAMES, FLAGGED)
+
+
 GROUP_SQL = "CASE WHEN high_count > 0 THEN 'one or more high' ELSE 'none high' END"
 
 
@@ -424,26 +501,47 @@ def cases_topk(spark: SparkSession, d: str) -> DataFrame:
     return explore.inspection_cases(_flagged(spark, d, "question_title"), "time_to_first_answer_hours", "available_question_comment_count", "question_id", "question_title")
 
 
-RANKED = ["question_score", "question_view_count", "question_word_count", "code_character_count", "link_count", "available_answer_count", "time_to_first_answer_hours", "available_question_comment_count"]
-_PAIRS = [(a, b) for i, a in enumerate(RANKED) for b in RANKED[i + 1 :]]
-RHO = T + " UNION ALL ".join(
-    f"SELECT {i} AS position, '{a}' AS first, '{b}' AS second, count(*) AS observations, round(corr(x, y), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2e0 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2e0 AS y FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL) HAVING count(*) >= 20"
-    for i, (a, b) in enumerate(_PAIRS)
+RANKED = list(CORRELATED)
+_PAIRS = [(a, b) for i, a in enumerate(RANKED) for b in RANKED[i + 1 :] if (a, b) not in STRUCTURAL]
+# Student's t by Simpson's rule over the angle whose sine is rho, and Benjamini and Hochberg over all pairs
+RHO = (
+    T
+    + ", c0 AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{a}' AS first, '{b}' AS second, count(*) AS observations, corr(x, y) AS rho FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2e0 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2e0 AS y FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL) HAVING count(*) >= 20 AND min(x) < max(x) AND min(y) < max(y)"
+        for i, (a, b) in enumerate(_PAIRS)
+    )
+    + """), c1 AS (SELECT *, asin(least(1, abs(rho))) AS lo, least(pi() / 2, asin(least(1, abs(rho))) + 12 / sqrt(observations - 2)) AS hi FROM c0),
+c2 AS (SELECT position, any_value(first) AS first, any_value(second) AS second, any_value(observations) AS observations, any_value(rho) AS rho,
+ 2 * exp(lgamma((any_value(observations) - 1) / 2e0) - lgamma((any_value(observations) - 2) / 2e0)) / sqrt(pi()) * any_value(hi - lo) / 6000 * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp((observations - 3) * ln(greatest(1e-300, cos(lo + (hi - lo) * k / 2000))))) AS p FROM c1, (SELECT unnest(range(2001)) AS k) GROUP BY position),
+c3 AS (SELECT *, CASE WHEN abs(rho) >= 1 THEN 0 ELSE p END AS p_value FROM c2), c4 AS (SELECT *, row_number() OVER (ORDER BY p_value, position) AS r, count(*) OVER () AS n FROM c3),
+rho AS (SELECT position, first, second, observations, rho, p_value, least(1, min(p_value * n / r) OVER (ORDER BY r DESC)) AS q_value FROM c4)
+"""
 )
 
 
 def _rho(spark: SparkSession, d: str) -> DataFrame:
-    return correlations.rank_correlations(_once(spark, d, *RANKED), RANKED)
+    return correlations.false_discovery(correlations.rank_correlations(_once(spark, d, *RANKED), RANKED, STRUCTURAL))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumns({"rho": F.round("rho", 6) + 0.0, "p_value": F.round("p_value", 7) + 0.0, "q_value": F.round("q_value", 7) + 0.0})
+
 
+SHOWN = "position, first, second, observations, round(rho, 6) + 0 AS rho, round(p_value, 7) AS p_value, round(q_value, 7) AS q_value"
 
-@query(RHO)
+
+@query(RHO + f"SELECT {SHOWN} FROM rho")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    return _rho(spark, d).select("position", "first", "second", "observations", (F.round("rho", 6) + 0.0).alias("rho"))
+    return _shown(_rho(spark, d))
 
 
-@query()
+@query(
+    RHO
+    + f", m AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in CORRELATED.items())}) x(name, label)) SELECT {SHOWN}, a.label || ' / ' || b.label AS pair_label FROM rho JOIN m a ON a.name = first JOIN m b ON b.name = second WHERE abs(rho) >= 0.3 AND q_value <= 0.05 ORDER BY abs(rho) DESC, position LIMIT 20"
+)
 def spearman_retained(spark: SparkSession, d: str) -> DataFrame:
-    return correlations.retained(correlations.false_discovery(_rho(spark, d)))
+    return _shown(correlations.retained(_rho(spark, d), labels=CORRELATED))
 
 
 BH = "SELECT CAST(p_partkey AS INTEGER) AS position, p_retailprice / 1e6 AS p_value FROM part"
@@ -469,7 +567,18 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return characteristics.validation(table(spark, d, "thread_characteristics"))
 
 
-@query()
+def _invariants_sql() -> str:
+    asked, answered, closed, snap = MOMENT.format("question_creation_datetime"), MOMENT.format("first_answer_creation_datetime"), MOMENT.format("closed_datetime"), "CAST(dump_snapshot_date AS TIMESTAMP)"
+    rules = {
+        "flag_against_count": "has_available_answer <> (available_answer_count > 0)", "negative_count": " OR ".join(f"coalesce({c} < 0, false)" for c in NAMES if c.endswith("_count") or c.endswith("_hours")),
+        "answer_before_question": f"{answered} < {asked}", "acceptance_before_question": f"acceptance_date < CAST({asked} AS DATE)", "question_after_snapshot": f"{asked} >= {snap} + INTERVAL 1 DAY", "answer_after_snapshot": f"{answered} > {snap}", "closed_after_snapshot": f"{closed} > {snap}",
+    }
+    parts = [f"SELECT '{k}' AS rule, count(*) FILTER ({c}) AS rows FROM thread_characteristics" for k, c in rules.items()]
+    parts += ["SELECT 'repeated_id', count(*) - count(DISTINCT question_id) FROM thread_characteristics"] + [f"SELECT '{k}', greatest(0, count(DISTINCT {c}) - 1) FROM thread_characteristics" for k, c in (("other_sites", "site"), ("other_snapshots", "dump_snapshot_date"))]
+    return " UNION ALL ".join(parts)
+
+
+@query(_invariants_sql())
 def table_invariants(spark: SparkSession, d: str) -> DataFrame:
     return characteristics.invariants(table(spark, d, "thread_characteristics"))
 
@@ -486,6 +595,11 @@ def periods_head_tail(spark: SparkSession, d: str) -> DataFrame:
     return p.orderBy("period").limit(12).union(p.orderBy(F.desc("period")).limit(12)).distinct()
 
 
+@query(f"WITH p AS ({_period_sql('month')}) SELECT *, max(questions) OVER () AS largest, round(CAST(questions AS DOUBLE) / max(questions) OVER (), 6) AS share_of_largest FROM p")
+def axis_shares(spark: SparkSession, d: str) -> DataFrame:
+    return explore.axis_shares(_periods(spark, d, "month"), "questions")
+
+
 @query(f"WITH p AS ({_period_sql('month')}) (SELECT *, 'largest' AS extreme FROM p ORDER BY questions DESC, period LIMIT 1) UNION ALL (SELECT *, 'least' FROM p ORDER BY questions, period LIMIT 1)")
 def period_extremes(spark: SparkSession, d: str) -> DataFrame:
     return explore.extremes(_periods(spark, d, "month"), "questions", "period")

@@ -98,7 +98,9 @@ def _text(value: Any) -> str:
 
 
 def _row(parent: ET.Element, tag: str, row: Any) -> ET.Element:
-    return ET.SubElement(parent, tag, {k: _text(v) for k, v in row.asDict().items() if v is not None})
+    """A lossless row gives its attributes in source order, empty ones too; another row its columns that are not null."""
+    values = [(a["name"], a["value"]) for a in row["attrs"]] if "attrs" in row else [(k, v) for k, v in row.asDict().items() if v is not None]
+    return ET.SubElement(parent, tag, {k: _text(v) for k, v in values})
 
 
 def thread_tree(threads: Iterable[Any]) -> ET.ElementTree:

@@ -61,18 +61,18 @@ def load_schema(path: str | None = None) -> list[str]:
 
 def load_summary_fields(path: str) -> list[str]:
     """The included fields of a selection TSV, in its order. Mappings are fixed; only inclusion and order may change."""
-    known = {f: (r, snake_free) for f, r, a in SUMMARY for snake_free in [a.replace("_", "")]}
+    known = {f: (r, "".join(part.capitalize() for part in a.split("_"))) for f, r, a in SUMMARY}
     chosen, seen = [], set()
-    for r in _config(path, {"field", "include", "source_record", "source_attribute"}):
-        field, flag = r["field"], (r["include"] or "").strip().lower()
+    for line, r in enumerate(_config(path, {"field", "include", "source_record", "source_attribute"}), 2):
+        where, field, flag = f"{path}, row {line}", (r["field"] or "").strip(), (r["include"] or "").strip().lower()
         if field not in known:
-            raise ValueError(f"{path}: unknown field {field!r}")
+            raise ValueError(f"{where}: unknown field {field!r}")
         if field in seen:
-            raise ValueError(f"{path}: repeated field {field!r}")
-        if (r["source_record"], (r["source_attribute"] or "").replace("_", "").lower()) != known[field]:
-            raise ValueError(f"{path}: changed mapping of {field!r}")
+            raise ValueError(f"{where}: repeated field {field!r}")
+        if (r["source_record"], r["source_attribute"]) != known[field]:
+            raise ValueError(f"{where}: changed mapping of {field!r}")
         if flag not in ("true", "false"):
-            raise ValueError(f"{path}: include of {field!r} is {r['include']!r}")
+            raise ValueError(f"{where}: include of {field!r} is {r['include']!r}")
         seen.add(field)
         if flag == "true":
             chosen.append(field)
