@@ -16,6 +16,12 @@ def test_pairs_against_brute_force(spark):
         got = pairs.associations(df, chunk=chunk).collect()
         assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in got} == want
         assert all((r["n_a"], r["n_b"], r["n"]) == (single[r["item_a"]], single[r["item_b"]], len(baskets)) for r in got)
+    rows = spark.createDataFrame([(i, x) for i, b in baskets for x in b], "id bigint, item string")
+    for chunk in (64, 7):
+        got = pairs.row_associations(rows, chunk=chunk).collect()
+        assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in got} == want
+        assert all((r["n_a"], r["n_b"], r["n"]) == (single[r["item_a"]], single[r["item_b"]], len(baskets)) for r in got)
+    assert pairs.row_associations(rows.where("false")).count() == 0
     frequent = {(r["item_a"], r["item_b"]) for r in pairs.above_chance(pairs.associations(df, least=5)).collect()}
     assert frequent == {p for p, n in want.items() if n >= 5 and n * len(baskets) >= 4 * single[p[0]] * single[p[1]]}
 

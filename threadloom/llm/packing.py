@@ -169,4 +169,16 @@ def fill(packed: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["Run", "discard", "fill", "pack", "pack_documents", "plan"]
+def checks(packed: DataFrame, key: str = "doc_id", well: float = 0.95) -> DataFrame:
+    """What must hold of a packing, per kind of container: documents, containers over capacity, documents with a gap in their pieces, documents split
+    though a container could hold them, and whether the containers but the last are filled to `well` on average."""
+    kind = ["container_name", "capacity_tokens"]
+    packed = materialize(packed, "packed")
+    bins = packed.groupBy(*kind, "container_no").agg(F.sum("n_tokens").alias("n")).groupBy(*kind).agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"), (F.sum("n") >= well * F.col("capacity_tokens") * (F.count("*") - 1)).alias("filled_well"))
+    last = F.max("piece_no") + 1
+    docs = packed.groupBy(*kind, key).agg((last != F.count("*")).alias("gap"), ((last > 1) & (F.min(F.when(F.col("piece_no") < 1, F.col("n_tokens"))) < F.col("capacity_tokens"))).alias("needless"))
+    whole = docs.groupBy(*kind).agg(F.count("*").alias("documents"), F.count_if("gap").alias("incomplete"), F.count_if("needless").alias("split_needlessly"))
+    return bins.join(whole, kind).select(*kind, "documents", "overfull", "incomplete", "split_needlessly", "filled_well")
+
+
+__all__ = ["Run", "checks", "discard", "fill", "pack", "pack_documents", "plan"]

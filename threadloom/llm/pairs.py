@@ -47,12 +47,41 @@ def basket_pairs(baskets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return small.unionByName(large)
 
 
+def user_tags(posts: DataFrame) -> DataFrame:
+    """(id, item): each distinct tag of each asker's questions; questions without owner are left out."""
+    once = posts.where("post_type_id = '1'").select(positive_id("id").alias("id"), "owner_user_id", "tags").where("id is not null").groupBy("id").agg(F.max("owner_user_id").alias("owner"), F.max("tags").alias("tags"))
+    return once.where("owner is not null").select(F.col("owner").alias("id"), F.explode(tag_items()).alias("item")).distinct()
+
+
+def row_pairs(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(item_a, item_b) of baskets given as distinct rows(id, item), so that no basket is ever gathered whole.
+
+    Items go to chunks by hash, as many as the basket's size asks for; every pair of chunks of a basket is a group.
+    """
+    chunks = rows.groupBy("id").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
+    parts = rows.join(chunks, "id").groupBy("id", "chunks", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int").alias("i")).agg(F.array_sort(F.collect_list("item")).alias("part"))
+    sent = parts.select("id", "i", "part", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
+    met = sent.groupBy("id", F.least("i", "other").alias("a"), F.greatest("i", "other").alias("b")).agg(F.min(F.struct("i", "part")).alias("first"), F.max(F.struct("i", "part")).alias("second"), F.count("*").alias("sides"))
+    across = "flatten(transform(first.part, x -> transform(second.part, y -> struct(least(x, y) as item_a, greatest(x, y) as item_b))))"
+    return met.where("a = b or sides = 2").select(F.explode(F.expr(f"if(a = b, {_within('first.part')}, {across})")).alias("p")).select("p.*")
+
+
+def row_associations(rows: DataFrame, least: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """associations() of baskets given as distinct rows(id, item)."""
+    rows = materialize(rows, "basket-rows")
+    return _joined(row_pairs(rows, chunk), rows.groupBy("item").agg(F.count("*").alias("n_item")), rows.select("id").distinct().count(), least)
+
+
 def associations(baskets: DataFrame, least: int = 1, chunk: int = CHUNK) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n): pairs on at least `least` of the n baskets, with their single counts."""
     baskets = materialize(baskets, "baskets")
     n = baskets.count()
     single = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n_item"))
-    pairs = basket_pairs(baskets, chunk).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= least)
+    return _joined(basket_pairs(baskets, chunk), single, n, least)
+
+
+def _joined(pairs: DataFrame, single: DataFrame, n: int, least: int) -> DataFrame:
+    pairs = pairs.groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= least)
     of = lambda name, count: single.select(F.col("item").alias(name), F.col("n_item").alias(count))
     return pairs.join(of("item_a", "n_a"), "item_a").join(of("item_b", "n_b"), "item_b").select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n).cast("bigint").alias("n"))
 
