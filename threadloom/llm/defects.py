@@ -32,59 +32,95 @@ LEAD_IN = 8
 LONG_RUN = 8
 SHINGLE = 3
 
-# Templates of refusals, over lower-case words; each must match a whole sentence from its beginning.
-TASK = r"(?:help|assist|answer|comment|discuss|provide|share|give|continue|do|support|advise|respond|engage|talk|go|explain|say|offer|tell|fulfil|fulfill|comply|write|address|take|reply|speak|cover|touch|show|produce|handle|process|complete|recommend|describe|look)"
-CANNOT = r"(?:can ?not|cant|can t|could not|couldnt|couldn t|am not able to|m not able to|im not able to|am unable to|m unable to|im unable to|am not allowed to|m not allowed to|am not permitted to|m not permitted to|am not in a position to|m not in a position to|wont|won t|will not|would rather not|d rather not|prefer not to|would prefer not to|must decline to|have to decline to|need to decline to|must refuse to|have to refuse to|refuse to|decline to|am going to pass on|must pass on|have to pass on)"
-REFUSALS = [
-    rf"(?:.{{0,60}}\b)?i (?:{CANNOT})(?: \w+ly)? {TASK}\b.*",
-    r"(?:.{0,60}\b)?i (?:must|have to|need to|will have to) (?:decline|refuse|pass)\b.*",
-    r"(?:.{0,40}\b)?(?:it|that|this) (?:would|is|s) (?:not|in) ?(?:be )?(?:appropriate|possible|allowed|permitted|right|proper) for me\b.*",
-    r"(?:.{0,40}\b)?(?:there is|there s|i see|i have) no way (?:for me )?to " + TASK + r"\b.*",
-    r"(?:.{0,40}\b)?(?:something|nothing|a topic|a subject)(?: that)? i (?:do not|don t|dont|am not|can not|cannot|can t|will not|won t)(?: feel)? (?:comfortable|happy|willing|able|allowed|answer|help|discuss|comment)\b.*",
-    r"(?:requests?|questions?|topics?|things|tasks?)(?: \w+){0,5} (?:are|is|get|will be|must be) (?:declined|refused|rejected|off limits|not answered|not allowed|not permitted|not supported|out of scope|outside)\b.*",
-    r"(?:that|this|it)(?: \w+){0,4} (?:is|s|are|falls|lies) (?:off limits|out of bounds|beyond|outside|not allowed|not permitted|not something i)\b.*",
-    r"no (?:answer|comment|help|reply|response|advice|assistance)(?: \w+){0,5}(?: from (?:my side|me|here)| on this one| on that| to that| to this| here| possible)\b.*",
-    r"(?:.{0,40}\b)?(?:subject|topic|request|question) (?:is|s) (?:not allowed|off limits|forbidden|not permitted|declined|refused)\b.*",
-    r"(?:.{0,40}\b)?(?:against|violates?|outside|beyond) (?:my|our|the) (?:guidelines|policy|policies|rules|programming|scope|principles)\b.*",
-    r"(?:.{0,30}\b)?(?:declined|request denied|request refused|refused)$",
-    r"(?:.{0,30}\b)?(?:you will|you ll|you) (?:get|have|find) no (?:answer|help|reply|comment)\b.*",
-    r"(?:.{0,30}\b)?my (?:guidelines|rules|policy|instructions|principles) (?:do not|don t|forbid|prevent|prohibit|keep|stop)\b.*",
-    r"(?:.{0,30}\b)?not (?:something|a topic|a subject|a question)(?: that| which)? (?:i|me)\b.*",
-    r"(?:.{0,30}\b)?(?:i am|i m|im) (?:going|afraid i have|afraid i ll have) to (?:pass|decline|refuse)\b.*",
-    r"(?:.{0,40}\b)?i (?:have to|must|will|ll|am going to|m going to|would rather|need to)(?: \w+)? (?:stop|leave|end|keep (?:out|quiet|silent)|stay out|skip|remain silent|withhold)\b.*",
-    r"(?:answering|helping|a reply|an answer|replying|responding|commenting|this|that|it)(?: \w+){0,4} (?:would|will|could) (?:break|violate|breach|go against|contravene|cross)\b.*",
-    r"(?:.{0,40}\b)?(?:no me está|no nos está|no está|me está) (?:permitido|prohibido|autorizado)\b.*",
-    r"(?:.{0,40}\b)?(?:darf|kann|möchte|will|werde)(?: \w+){0,4} (?:nichts|keine auskunft|nicht weiter)\b.*",
-    r"(?:.{0,40}\b)?il (?:ne )?m est (?:pas permis|interdit|impossible)\b.*",
-    # Spanish, German, French, Italian, Portuguese
-    r"(?:.{0,40}\b)?no (?:puedo|podemos|voy a|me es posible|quiero)(?: \w+){0,2} (?:ayudar\w*|responder|contestar|comentar|hablar|dar\w*|ofrecer|continuar|seguir|hacer|asistir|opinar|proporcionar|compartir)\b.*",
-    r"(?:.{0,40}\b)?(?:debo|tengo que|prefiero|he de) (?:negarme|rechazar|declinar|no)\b.*",
-    r"(?:.{0,40}\b)?(?:kann|darf|möchte|werde|will)(?: \w+){0,6} (?:nicht|keine?n?|leider)(?: \w+){0,6} (?:helfen|beantworten|antworten|weiterhelfen|geben|äußern|sagen|kommentieren|unterstützen|besprechen|fortfahren)\b.*",
-    r"(?:.{0,40}\b)?(?:muss|möchte)(?: \w+){0,4} (?:ablehnen|verweigern|passen)\b.*",
-    r"(?:.{0,40}\b)?je ne (?:peux|puis|suis|veux|vais|souhaite)(?: \w+){0,3} (?:aider|répondre|commenter|discuter|donner|continuer|fournir|en mesure|vous|autorisé)\b.*",
-    r"(?:.{0,40}\b)?je (?:dois|préfère) (?:refuser|décliner|ne pas)\b.*",
-    r"(?:.{0,40}\b)?non (?:posso|sono in grado)\b.*",
-    r"(?:.{0,40}\b)?não (?:posso|consigo|devo)\b.*",
-]
-REFUSAL = re.compile("|".join(f"(?:{r})" for r in REFUSALS))
-# Sentences that carry nothing of their own beside a refusal.
-PLEASANTRIES = [
-    r"(?:hello|hi|hey|dear|thanks|thank you|many thanks|sorry|i m sorry|i am sorry|apologies|my apologies|unfortunately|regrettably|good question|great question|interesting question|nice question)(?: (?:there|for|your|you|the|a|asking|all|everyone|question|so|much|very|about|that|this|understanding|patience|trust|interest))*",
-    r"(?:i see|i understand|i get|i know) what you (?:mean|want|are asking|re asking|need).*",
-    r"thank(?:s| you) for .*",
-    r"please (?:consult|contact|ask|try|speak|talk|refer|see|reach|seek|turn|check with)\b.*",
-    r"(?:try|consider) (?:asking|another|a different|somewhere|rephrasing|contacting)\b.*",
-    r"ask (?:elsewhere|somewhere else|someone else|again|me something else).*",
-    r"i hope (?:you|that you|this) (?:understand|can understand|is understandable|helps).*",
-    r"(?:it|that|this) (?:goes|is|would be) against (?:my|our|the) .*",
-    r"if you have (?:another|any other|other|more|further|a different) (?:question|questions).*",
-    r"(?:feel free|don t hesitate|do not hesitate) to .*",
-    r"(?:as|being) an? (?:\w+ ){0,3}(?:assistant|model|ai|bot|system)",
-    r"(?:lo siento|perdón|disculpa|disculpe|hola|gracias|buena pregunta|tut mir leid|es tut mir leid|entschuldigung|leider|hallo|danke|gute frage|désolé|bonjour|merci|mi dispiace|desculpe)(?: \w+){0,4}",
-    r"(?:por favor|bitte|s il vous plaît|veuillez)\b.*",
-    r"(?:is there|can i help with) (?:anything|something) else.*",
-]
-PLEASANTRY = re.compile("|".join(f"(?:{r})" for r in PLEASANTRIES))
+# Refusals and what may stand beside them are recognized by aligning tokens with templates. A word in capitals is a class:
+# any of its phrases matches it. "a/b" is a choice. Between two template tokens at most `GAP` others may stand, before the
+# first at most LEAD. Fixed values, written from general knowledge of how people and assistants decline.
+CLASSES = {
+    "SELF": "i|we",
+    "CANNOT": "can not|cannot|cant|can t|could not|couldn t|couldnt|am not able to|m not able to|im not able to|are not able to|am unable to|m unable to|im unable to|am not allowed to|m not allowed to|am not permitted to|m not permitted to|am not in a position to|m not in a position to|wont|won t|will not|would rather not|d rather not|prefer not to|would prefer not to|must decline to|have to decline to|need to decline to|must refuse to|have to refuse to|refuse to|decline to|do not feel comfortable|don t feel comfortable|am going to pass on|must pass on|have to pass on",
+    "TASK": "help|assist|answer|answering|comment|discuss|provide|share|give|continue|do|support|advise|respond|engage|talk|go|explain|say|offer|tell|fulfil|fulfill|comply|write|address|take|reply|speak|cover|touch|show|produce|handle|process|complete|recommend|describe|look",
+    "MUST": "must|have to|need to|will have to|ll have to|am going to|m going to|will|ll|would rather",
+    "REFUSE": "decline|refuse|pass|stop|leave|end|keep out|keep quiet|keep silent|stay out|skip|remain silent|withhold",
+    "REFUSED": "declined|refused|rejected|denied|off limits|out of bounds|not allowed|not permitted|not supported|not answered|forbidden|out of scope|prohibited",
+    "THING": "question|questions|request|requests|topic|topics|subject|subjects|task|tasks|things|that|this|it|such questions",
+    "BE": "is|s|are|get|be|falls|lies|would be",
+    "APPROPRIATE": "appropriate|possible|allowed|permitted|right|proper|comfortable|something|a topic|a subject|a question",
+    "OUTSIDE": "against|violates|violate|outside|beyond|break|breach|go against|goes against|contravene|cross",
+    "RULES": "guidelines|policy|policies|rules|programming|scope|principles|instructions",
+    "FORBID": "do not|don t|forbid|prevent|prohibit|keep|stop",
+    "REPLY": "answer|comment|help|reply|response|advice|assistance",
+    "NO_ES": "no puedo|no podemos|no voy a|no me es posible|no quiero|no me está|no nos está|no está|me está",
+    "TASK_ES": "ayudar|ayudarte|ayudarle|responder|contestar|comentar|hablar|dar|darte|ofrecer|continuar|seguir|hacer|asistir|opinar|proporcionar|compartir|permitido|prohibido|autorizado",
+    "MUST_DE": "kann|darf|möchte|werde|will|muss", "NO_DE": "nicht|keine|keinen|kein|leider|nichts", "TASK_DE": "helfen|beantworten|antworten|weiterhelfen|geben|äußern|sagen|kommentieren|unterstützen|besprechen|fortfahren|ablehnen|verweigern|passen|auskunft|weiter",
+    "NO_FR": "ne peux|ne puis|ne suis|ne veux|ne vais|ne souhaite", "TASK_FR": "aider|répondre|commenter|discuter|donner|continuer|fournir|en mesure|vous|autorisé",
+    "POLITE": "hello|hi|hey|dear|thanks|thank you|many thanks|sorry|i m sorry|i am sorry|apologies|my apologies|unfortunately|regrettably|good question|great question|interesting question|nice question|lo siento|perdón|disculpa|disculpe|hola|gracias|buena pregunta|tut mir leid|es tut mir leid|entschuldigung|leider|hallo|danke|gute frage|désolé|bonjour|merci|mi dispiace|desculpe",
+    "ELSEWHERE": "consult|contact|ask|asking|try|speak|talk|refer|see|reach|seek|turn|check with|rephrasing|contacting|another|a different|somewhere",
+}
+GAP, LEAD = 4, 8
+REFUSALS = """
+SELF CANNOT TASK|SELF MUST REFUSE|THING BE not/in APPROPRIATE for/i|not APPROPRIATE for me|inappropriate for me|no way TASK|something/nothing i CANNOT/not/do/don TASK/comfortable/feel|THING BE REFUSED|THING BE OUTSIDE|no REPLY from/on/to/here/possible|OUTSIDE my/our/the RULES|my RULES FORBID|you get/have/find no REPLY
+not APPROPRIATE i/me|afraid i MUST REFUSE|i am going to pass/decline/refuse|answering/helping/reply/replying/responding/commenting OUTSIDE|would OUTSIDE|NO_ES TASK_ES|debo/prefiero negarme/rechazar/declinar/no|tengo que negarme/rechazar/declinar|MUST_DE NO_DE TASK_DE|MUST_DE TASK_DE|je NO_FR TASK_FR|je dois/préfère refuser/décliner/ne|il ne m est pas permis/possible|il m est interdit/impossible|non posso|non sono in grado|não posso/consigo/devo
+"""
+WHOLE = "declined|request denied|request refused|refused"
+PLEASANTRIES = """
+POLITE|i see/understand/get/know what you mean/want/are/re/need|please ELSEWHERE|try/consider ELSEWHERE|ask elsewhere/somewhere/someone/again/me|i hope you/that/this understand/helps/can/is|THING BE/goes OUTSIDE my/our/the|if you have another/any/other/more/further/a question/questions|feel free to|don t hesitate to|do not hesitate to|as/being a/an assistant/model/ai/bot/system|por favor|bitte|s il vous plaît|veuillez|is there/can anything/something else|can i help with anything/something else
+"""
+
+
+def _phrases() -> dict[str, list[tuple[str, frozenset[str]]]]:
+    """By first word: phrases, the longest first, and the classes they belong to."""
+    classes: dict[tuple[str, ...], set[str]] = {}
+    for name, phrases in CLASSES.items():
+        for phrase in phrases.split("|"):
+            classes.setdefault(tuple(phrase.split()), set()).add(name)
+    out: dict[str, list] = {}
+    for words_, names in sorted(classes.items(), key=lambda x: -len(x[0])):
+        out.setdefault(words_[0], []).append((words_, frozenset(names)))
+    return out
+
+
+PHRASES = _phrases()
+_templates = lambda text: [[frozenset(t.split("/")) for t in x.split()] for x in "|".join(text.strip().split("\n")).split("|")]
+REFUSAL_TEMPLATES, PLEASANTRY_TEMPLATES = _templates(REFUSALS), _templates(PLEASANTRIES)
+WHOLE_TEMPLATES = [x.split() for x in WHOLE.split("|")]
+
+
+def align(sentence: list[str], template: list[frozenset[str]], gap: int = GAP, lead: int = LEAD) -> bool:
+    """Is the template a subsequence of the sentence, its tokens at most `gap` apart and the first at most `lead` words in?
+
+    A template token matches a word of its own or a phrase of its class. `ends` holds every place where the part of the
+    template aligned so far may end.
+    """
+    ends = {0}
+    for k, token in enumerate(template):
+        reach, new = lead if k == 0 else gap, set()
+        for end in ends:
+            for at in range(end, min(end + reach + 1, len(sentence))):
+                word = sentence[at]
+                if word in token:
+                    new.add(at + 1)
+                for phrase, classes in PHRASES.get(word, ()):
+                    if classes & token and tuple(sentence[at : at + len(phrase)]) == phrase:
+                        new.add(at + len(phrase))
+        if not new:
+            return False
+        ends = new
+    return True
+
+
+def declines(sentence: list[str]) -> bool:
+    return any(align(sentence, t) for t in REFUSAL_TEMPLATES) or any(sentence[-len(w) :] == w for w in WHOLE_TEMPLATES)
+
+
+def polite(sentence: list[str]) -> bool:
+    """A greeting, thanks, a referral: nothing of its own beside a refusal. It begins with its template, polite words end soon."""
+    for k, t in enumerate(PLEASANTRY_TEMPLATES):
+        if align(sentence, t, gap=2, lead=0):
+            if k or len(sentence) <= 8:
+                return True
+    return False
+
+
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 #: Frequent function words by language, without those that several of these languages share.
@@ -124,18 +160,17 @@ CLOSERS = "\"'”’»)]}›」』*_`"
 SIGN_OFF = re.compile(r"(?:hth|hope (?:that|this|it)\b.*|good luck\b.*|just my (?:two|2) cents|my (?:two|2) cents|cheers.*|thanks.*|thank you.*|regards.*|best regards.*|kind regards.*|best|greetings.*|saludos.*|suerte|buena suerte|gracias.*|espero que .*|viel (?:glück|erfolg)|gruß.*|grüße.*|viele grüße.*|mfg|danke.*|hoffe,? .*|bonne chance|merci.*|edit|update|done|ok|yes|no|see above|ymmv|afaik|imho|fwiw|good luck|enjoy|happy \w+)", re.IGNORECASE)
 
 
-def sentences(text: str) -> Iterator[str]:
-    """Sentences as lower-case words parted by single blanks."""
-    plain = text.replace("’", "'")
-    return (x for s in SENTENCE_END.split(plain) if (x := " ".join(words(s))))
+def sentences(text: str) -> Iterator[list[str]]:
+    """Words of each sentence that has any."""
+    return (x for s in SENTENCE_END.split(text.replace("’", "'")) if (x := words(s)))
 
 
 def is_refusal(text: str) -> bool:
     found = False
     for s in sentences(text):
-        if REFUSAL.fullmatch(s):
+        if declines(s):
             found = True
-        elif not PLEASANTRY.fullmatch(s):
+        elif not polite(s):
             return False
     return found
 
