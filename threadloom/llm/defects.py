@@ -3,11 +3,12 @@
 Each answer is joined with the question its parent_id names and gets at most one defect, tried in this order:
 empty, refusal, copy, language, truncated.
 
-* refusal: the answer's sentences are aligned with refusal templates; it is one if some sentence declines and all
-  others are greetings or closings.
+* refusal: the tokens of the answer's sentences are aligned with refusal templates; it is one if some sentence declines
+  and all others align with greetings, closings or referrals.
 * copy: 3-word shingles of the answer that the question's title or body holds, then the longest common subsequence of
   words after a lead-in; nine tenths of the rest in the question's order make a copy.
-* language: function words (and scripts) of the prose outside code, of the answer against the question.
+* language: a character n-gram model trained from a bounded labelled sample rates the prose outside code of the answer
+  against that of the question.
 * truncated: an element is left open, or the last paragraph ends inside a sentence, or the last code line inside a
   bracket or quotation.
 
@@ -25,12 +26,15 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.ids import positive_id, reference_number
 from threadloom.functions.text import visible_text, words
+from threadloom.llm import languages
+from threadloom.llm.languages import LanguageModel
 from threadloom.operators.skew import skew_join
 
 COPIED = 0.9
 LEAD_IN = 8
 LONG_RUN = 8
 SHINGLE = 3
+ROWS = 512  # answers rated together
 
 # Refusals and what may stand beside them are recognized by aligning tokens with templates. A word in capitals is a class:
 # any of its phrases matches it. "a/b" is a choice. Between two template tokens at most `GAP` others may stand, before the
@@ -123,29 +127,7 @@ def polite(sentence: list[str]) -> bool:
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
-#: Frequent function words by language, without those that several of these languages share.
-FUNCTION_WORDS = {
-    "en": "the and that with it for when which to of is are this you has only what from then both let an does why how my before after or not while between".split(),
-    "de": "der die das und ist nicht den dem ein eine ich zu sich nur wenn noch mit obwohl schon deshalb kann ohne läuft wer man".split(),
-    "es": "el la los que con una del se en hay está por como pero su más las puede muy sin cada necesité porque ya".split(),
-    "fr": "le les des ne pas pour est avec dans qui sans une cette du et il je faut trop puis sur au ce chez mais plus".split(),
-    "it": "il di che non per della sono gli nel lo è si della ma anche come più questo alla dei una".split(),
-    "pt": "o os não uma do da em ao mas você isso são foi pelo na no as um sem também está".split(),
-    "nl": "het een van niet met voor op dat de te zijn wordt er maar ook naar deze kan alleen als aan".split(),
-    "pl": "nie się jest na że do jak ale po przez tylko może dla być który z w i od".split(),
-    "sv": "och att det som en är inte på för med av till den har kan ett men om".split(),
-    "da": "og at det som er ikke på til med af den har kan et der når skal efter".split(),
-    "ro": "și nu este pentru care din sau la pe cu mai dar ca fi sunt".split(),
-    "cs": "a se na že je to jako ale pro nebo jen když který není při po".split(),
-    "fi": "ja ei on että se kun mutta vain joka ole myös tai niin".split(),
-    "tr": "ve bir bu için ile değil çok ama gibi daha sonra kadar olarak".split(),
-}
-LANGUAGES = list(FUNCTION_WORDS)
-FUNCTIONS = [frozenset(FUNCTION_WORDS[x]) for x in LANGUAGES]
-SCRIPTS = [("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[Ѐ-ӿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("ar", re.compile("[؀-ۿ]")), ("he", re.compile("[֐-׿]")), ("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]"))]
-OTHER_SCRIPT = re.compile("[\u0370-\u1fff\u3040-\ud7ff]")
 LETTER = re.compile(r"[^\W\d_]")
-LEAST_PROSE = 4
 
 CODE = re.compile(r"<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.DOTALL | re.IGNORECASE)
 TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>", re.DOTALL)
@@ -197,8 +179,7 @@ class Prompt:
         heading, text = visible_text(title), visible_text(body)
         self.title, self.body = words(heading), words(text)
         self.words = {*self.title, *self.body}
-        speech = prose(body, text)
-        self.language = language(f"{heading} {speech}", self.title + self.body if speech is text else None)[0]
+        self.prose = f"{heading} {prose(body, text)}"
         self._shingles: set | None = None
 
     @property
@@ -231,29 +212,6 @@ def prose(source: str | None, text: str) -> str:
     return visible_text(CODE.sub(" ", source)) if source and ("<pre" in source or "<code" in source) else text
 
 
-def language(text: str, own: list[str] | None = None) -> tuple[str | None, int, int, set[str]]:
-    """Most likely language, how many of its function words occur, the number of words or letters, and the distinct words."""
-    if not text.isascii() and OTHER_SCRIPT.search(text):
-        letters = len(LETTER.findall(text))
-        for name, script in SCRIPTS:
-            if letters and 5 * len(script.findall(text)) > letters:
-                return name, 99, letters, set()
-    own = words(text) if own is None else own
-    distinct = set(own)
-    counts = [len(distinct & f) for f in FUNCTIONS]
-    most = max(counts)
-    return (LANGUAGES[counts.index(most)] if most else None), most, len(own), distinct
-
-
-def other_language(text: str, prompt: Prompt, own: list[str] | None = None) -> bool:
-    theirs = prompt.language
-    mine, most, n, distinct = language(text, own)
-    if mine is None or theirs is None or mine == theirs or n < LEAST_PROSE:
-        return False
-    shared = len(distinct & FUNCTIONS[LANGUAGES.index(theirs)]) if theirs in FUNCTION_WORDS else 0
-    return most >= 3 and most >= 2 * shared + 1
-
-
 def is_truncated(source: str, text: str) -> bool:
     """Does non-empty HTML with the given visible text break off?"""
     if text[-1] in ENDS and all(source.count(f"<{t}>") == source.count(f"</{t}>") for t in BALANCED) and source.rstrip().endswith("</p>"):
@@ -304,39 +262,37 @@ def is_truncated(source: str, text: str) -> bool:
     return True
 
 
-def defect(body: str | None, prompt: Prompt) -> str | None:
-    text = visible_text(body)
-    if not text:
-        return "empty"
-    if is_refusal(text):
-        return "refusal"
-    own = words(text)
-    if is_copy(own, prompt):
-        return "copy"
-    speech = prose(body, text)
-    if other_language(speech, prompt, own if speech is text else None):
-        return "language"
-    if is_truncated(body, text):
-        return "truncated"
-    return None
-
-
-def broken_pairs(posts: DataFrame) -> DataFrame:
-    """(answer_id, defect) of the defective answers whose parent_id names a question."""
+def defects(bodies: list[str | None], prompts: list[Prompt], model: LanguageModel) -> list[str | None]:
+    """The defect of each answer to its prompt."""
+    out: list[str | None] = []
+    texts = [visible_text(b) for b in bodies]
+    for text, prompt in zip(texts, prompts):
+        out.append("empty" if not text else "refusal" if is_refusal(text) else "copy" if is_copy(words(text), prompt) else None)
+    left = [i for i, d in enumerate(out) if d is None]
+    other = model.differ([prose(bodies[i], texts[i]) for i in left], [prompts[i].prose for i in left])
+    for i, foreign in zip(left, other):
+        out[i] = "language" if foreign else "truncated" if is_truncated(bodies[i], texts[i]) else None
+    return out
+
+
+def broken_pairs(posts: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(answer_id, defect) of the defective answers whose parent_id names a question. The language model is trained from labelled(lang, text)."""
     answers = posts.where("post_type_id = '2'").select(positive_id("id").alias("answer_id"), reference_number("parent_id").alias("question_id"), F.col("body").alias("answer")).where("answer_id is not null and question_id is not null")
     prompts = posts.where("post_type_id = '1'").select(positive_id("id").alias("question_id"), "title", "body").where("question_id is not null").groupBy("question_id").agg(F.first("title").alias("title"), F.first("body").alias("body"))
     joined = skew_join(answers, prompts, "question_id", "answer_id").select("answer_id", "answer", "question_id", "title", "body")
+    shared = posts.sparkSession.sparkContext.broadcast(languages.train(labelled))  # 2^15 scores for each of at most 100 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, prompt = None, None
-        for b in batches:
-            ids, found = [], []
-            for answer_id, answer, question_id, title, body in zip(*(c.to_pylist() for c in b.columns)):
-                if question_id != at:
-                    at, prompt = question_id, Prompt(title, body)
-                if d := defect(answer, prompt):
-                    ids.append(answer_id)
-                    found.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["answer_id", "defect"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                ids, answer, question, title, body = (c.to_pylist() for c in whole.slice(first, ROWS).columns)
+                prompts = []
+                for question_id, t, b in zip(question, title, body):
+                    if question_id != at:
+                        at, prompt = question_id, Prompt(t, b)
+                    prompts.append(prompt)
+                found = [(i, d) for i, d in zip(ids, defects(answer, prompts, shared.value)) if d]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())], ["answer_id", "defect"])
 
     return joined.mapInArrow(run, "answer_id bigint, defect string").distinct()

@@ -41,7 +41,7 @@ def p1_compressed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return defects.broken_pairs(table(spark, d, "posts"))
+    return defects.broken_pairs(table(spark, d, "posts"), table(spark, d, "documents"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
