@@ -38,7 +38,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     letter = letters()[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one boundary after a run of letters
-    keep[:1] = True
+    keep[np.cumsum(sizes) - sizes] = True  # and one before each text
     points, owner = np.where(letter, points, 32)[keep].astype(np.uint64), np.repeat(np.arange(len(texts)), sizes)[keep]
     if len(points) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
