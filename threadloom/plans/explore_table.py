@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.ids import valid_timestamp
@@ -82,3 +84,31 @@ def load(table: DataFrame, check: bool = True, **period) -> Loaded:
 def dataset_summary(loaded: Loaded) -> DataFrame:
     rows = [("site", loaded.site), ("snapshot", loaded.snapshot), ("rows in file", str(loaded.rows_in_file)), ("rows selected", str(loaded.rows_selected)), ("last day of analysis", loaded.analysis_end)]
     return loaded.table.sparkSession.createDataFrame(rows, "item string, value string")
+
+
+def checked_settings(data: str, export: str | None = None, *, min_tag_questions: int = 20, top_tags: int = 20, min_observations: int = 20, min_absolute_rho: float = 0.30, alpha: float = 0.05, max_pairs: int = 20, max_cases: int = 8) -> dict:
+    """The settings of an exploration, or an error that names the first bad one."""
+    for name, value in (("min_tag_questions", min_tag_questions), ("top_tags", top_tags), ("min_observations", min_observations), ("max_pairs", max_pairs), ("max_cases", max_cases)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < (3 if name == "min_observations" else 1):
+            raise ValueError(f"{name} must be a whole number of at least {3 if name == 'min_observations' else 1}: {value!r}")
+    for name, value in (("min_absolute_rho", min_absolute_rho), ("alpha", alpha)):
+        if isinstance(value, bool) or not isinstance(value, (int, float)):
+            raise TypeError(f"{name} must be a number: {value!r}")
+    if not 0 <= min_absolute_rho <= 1 or not 0 < alpha <= 1:
+        raise ValueError("min_absolute_rho must be in [0, 1] and alpha in (0, 1]")
+    if export is not None and os.path.realpath(export) == os.path.realpath(data):
+        raise ValueError("the export would overwrite the data")
+    return {"min_tag_questions": min_tag_questions, "top_tags": top_tags, "min_observations": min_observations, "min_absolute_rho": min_absolute_rho, "alpha": alpha, "max_pairs": max_pairs, "max_cases": max_cases}
+
+
+def run_status(spark: SparkSession, steps: dict[str, DataFrame]) -> DataFrame:
+    """(position, step, status, rows): each step of an exploration, whether it had rows or was left out for want of data. One job."""
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(i).alias("position"), F.lit(name).alias("step"), "rows") for i, (name, df) in enumerate(steps.items())]
+    if not counts:
+        return spark.createDataFrame([], "position int, step string, status string, rows bigint")
+    return reduce(DataFrame.unionByName, counts).select("position", "step", F.when(F.col("rows") > 0, "completed").otherwise("no data").alias("status"), "rows")
+
+
+def status_tally(status: DataFrame) -> DataFrame:
+    """(status, steps): how many steps ended in each way."""
+    return status.groupBy("status").agg(F.count("*").alias("steps"))

@@ -583,6 +583,15 @@ def table_invariants(spark: SparkSession, d: str) -> DataFrame:
     return characteristics.invariants(table(spark, d, "thread_characteristics"))
 
 
+@query(
+    T
+    + "SELECT 0 AS position, 'answered' AS step, CASE WHEN count(*) > 0 THEN 'completed' ELSE 'no data' END AS status, count(*) AS rows FROM t WHERE has_available_answer UNION ALL SELECT 1, 'closed', CASE WHEN count(*) > 0 THEN 'completed' ELSE 'no data' END, count(*) FROM t WHERE closed_datetime IS NOT NULL UNION ALL SELECT 2, 'of another century', 'no data', count(*) FROM t WHERE CAST(asked AS DATE) < DATE '1900-01-01'"
+)
+def run_status(spark: SparkSession, d: str) -> DataFrame:
+    t = _once(spark, d, "has_available_answer", "closed_datetime", "question_creation_datetime")
+    return explore_table.run_status(spark, {"answered": t.where("has_available_answer"), "closed": t.where("closed_datetime is not null"), "of another century": t.where(F.to_date(valid_timestamp("question_creation_datetime")) < "1900-01-01")})
+
+
 @query(T + "SELECT question_id, question_creation_datetime FROM t WHERE CAST(asked AS DATE) BETWEEN DATE '2023-01-01' AND DATE '2023-12-31'")
 def period_select(spark: SparkSession, d: str) -> DataFrame:
     t = _once(spark, d, "question_creation_datetime", "dump_snapshot_date")

@@ -14,33 +14,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.sources import paths
+
 #: What XML 1.0 cannot hold.
 NOT_XML = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
 
 
 def guard(outputs: Iterable[str], inputs: Iterable[str] = (), overwrite: bool = False) -> None:
     """Refuse to overwrite outputs, unless asked to, and to write over an input in any case."""
-    sources = {os.path.realpath(p) for p in inputs}
+    sources = {paths.real(p) for p in inputs}
     for out in outputs:
-        if os.path.realpath(out) in sources:
+        if paths.real(out) in sources:
             raise ValueError(f"output {out} is an input")
-        if os.path.exists(out) and not overwrite:
+        if paths.exists(out) and not overwrite:
             raise FileExistsError(out)
 
 
 def atomic(path: str, write: Callable[[Any], None], mode: str = "w") -> None:
-    """Write beside the destination, then rename; nothing is left behind on failure."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
+    """Write beside the destination, then rename; nothing is left behind on failure. Remote paths are uploaded, then renamed."""
+    folder = None if paths.is_remote(path) else os.path.dirname(os.path.abspath(path))
+    if folder:
+        os.makedirs(folder, exist_ok=True)
     handle, temporary = tempfile.mkstemp(dir=folder, prefix=".part-")
     try:
         with os.fdopen(handle, mode, **({} if "b" in mode else {"encoding": "utf-8", "newline": ""})) as f:
             write(f)
-        os.replace(temporary, path)
-    except BaseException:
+        if folder:
+            os.replace(temporary, path)
+        else:
+            paths.publish(temporary, path)
+    finally:
         if os.path.exists(temporary):
             os.unlink(temporary)
-        raise
 
 
 def tsv_value(value: Any) -> str:
@@ -84,9 +89,9 @@ def tsv_column(df: DataFrame, name: str) -> Column:
     return F.when(text.rlike("[\t\r\n\"]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def write_tsv_distributed(df: DataFrame, path: str, end: str = "\r\n") -> None:
-    """A folder of TSV parts without header for tables of any size; line breaks inside fields stay as they are."""
-    df.select(F.concat_ws("\t", *[tsv_column(df, c) for c in df.columns]).alias("line")).write.mode("errorifexists").option("lineSep", end).text(path)
+def write_tsv_distributed(df: DataFrame, path: str, end: str = "\r\n", overwrite: bool = False) -> None:
+    """A folder of TSV parts without header, in the order of df, for tables of any size; line breaks inside fields stay as they are."""
+    df.select(F.concat_ws("\t", *[tsv_column(df, c) for c in df.columns]).alias("line")).write.mode("overwrite" if overwrite else "errorifexists").option("lineSep", end).text(path)
 
 
 def write_json(path: str, value: Any) -> None:

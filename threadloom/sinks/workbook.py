@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import zipfile
-from collections import Counter
 from collections.abc import Sequence
+from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -63,5 +63,17 @@ def write_workbook(path: str, sheets: dict[str, tuple[Sequence[str], Sequence[Se
     atomic(path, write, "wb")
 
 
-def overview(counts: Counter) -> list[tuple[str, int]]:
-    return sorted(counts.items())
+def shown(value: object) -> str:
+    return "" if value is None else str(value)
+
+
+def read_workbook(path: str) -> dict[str, list[list[str]]]:
+    """The values of every sheet of a workbook that write_workbook wrote, as text."""
+    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+    with zipfile.ZipFile(path) as z:
+        names = [(s.get("name"), s.get(f"{rel}id")) for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet")]
+        out = {}
+        for name, key in names:
+            sheet = ET.fromstring(z.read(f"xl/worksheets/sheet{key[1:]}.xml"))
+            out[name] = [["".join(c.itertext()) for c in row] for row in sheet.iter(f"{main}row")]
+    return out

@@ -3,32 +3,28 @@
 from __future__ import annotations
 
 import csv
-import os
-from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.plans.columns import COLUMNS, SUMMARY
+from threadloom.sources import paths
 
 
 def required(folder: str, names: list[str]) -> dict[str, str]:
     """Paths of required files; all that are missing are named together."""
-    paths = {n: str(Path(folder, n)) for n in names}
-    missing = [n for n, p in paths.items() if not os.path.isfile(p)]
+    found = {n: paths.child(folder, n) for n in names}
+    missing = [n for n, p in found.items() if not paths.is_file(p)]
     if missing:
         raise FileNotFoundError(f"missing in {folder}: {', '.join(missing)}")
-    return paths
+    return found
 
 
-def status(path: str) -> dict:
-    s = os.stat(path)
-    return {"path": os.path.abspath(path), "size_bytes": s.st_size, "modified_utc": datetime.fromtimestamp(s.st_mtime, timezone.utc).isoformat(timespec="seconds")}
+status = paths.status
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A TSV with a header, all columns text, quoted line breaks allowed; gzip by extension."""
-    if not os.path.exists(path) or os.path.isfile(path) and not os.path.getsize(path):
+    if not paths.exists(path) or paths.is_file(path) and not paths.status(path)["size_bytes"]:
         raise FileNotFoundError(f"missing or empty: {path}")
     return spark.read.csv(path, sep="\t", header=True, multiLine=True, quote='"', escape='"', nullValue=None, emptyValue="", inferSchema=False, enforceSchema=False)
 
