@@ -67,6 +67,12 @@ def label_number(value: float) -> str:
     return f"{int(value)}" if float(value).is_integer() else f"{value:.1f}"
 
 
+def number_label(c: Column | str) -> Column:
+    """label_number() as an expression."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(F.abs(c) >= 1000, F.format_number(c, 0)).when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(F.format_number(c, 1))
+
+
 def word_count(c: Column | str) -> Column:
     """Words of plain text in the JVM, by the rule of functions.html."""
     c = F.col(c) if isinstance(c, str) else c

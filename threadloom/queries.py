@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.html import html_measures
 from threadloom.functions.ids import positive_id, reference, reference_number, valid_timestamp
-from threadloom.functions.scalars import elapsed_microseconds, optional_integer, split_tags, tag_names, word_count
+from threadloom.functions.scalars import elapsed_microseconds, number_label, optional_integer, split_tags, tag_names, word_count
 from threadloom.operators import correlations, explore, quantiles, references, threads
 from threadloom.plans import characteristics, explore_table, summary
-from threadloom.plans.columns import CORRELATED, DISTRIBUTIONS, FLAGGED, NAMES, STRUCTURAL
+from threadloom.plans.columns import CORRELATED, DISTRIBUTIONS, FLAGGED, NAMES, STRUCTURAL, SUMMARY
 from threadloom.session import fresh_path, table
-from threadloom.sinks import workbook
+from threadloom.sinks import publish, workbook
+from threadloom.sources import xml
 from threadloom.streaming.periods import daily_outcomes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,22 +167,30 @@ def chrono_limit(spark: SparkSession, d: str) -> DataFrame:
 @query(
     QA
     + """SELECT q.id_number AS question_id, (SELECT count(*) FROM c WHERE c.parent = q.id_number) AS comments, (SELECT count(*) FROM a WHERE a.parent = q.id_number) AS answers,
-coalesce((SELECT string_agg(a.id, ',' ORDER BY sec NULLS FIRST, frac NULLS FIRST, id_number) FROM a WHERE a.parent = q.id_number), '') AS answer_ids FROM q"""
+coalesce((SELECT string_agg(a.id, ',' ORDER BY sec NULLS FIRST, frac NULLS FIRST, id_number) FROM a WHERE a.parent = q.id_number), '') AS answer_ids,
+coalesce((SELECT string_agg(c.id || ':' || coalesce(c.user_id, ''), ',' ORDER BY sec NULLS FIRST, frac NULLS FIRST, id_number) FROM c WHERE c.parent = q.id_number), '') AS comment_users, coalesce((SELECT sum(length(a.body)) FROM a WHERE a.parent = q.id_number), 0) AS answer_characters, q.title FROM q"""
 )
 def thread_nested(spark: SparkSession, d: str) -> DataFrame:
-    n = threads.nested_threads(_questions(spark, d), _answers(spark, d).where("parent is not null"), _comments(spark, d).where("parent is not null"), "id_number", _order(), ["id", "creation_date"], ["id", "creation_date"])
-    return n.select(F.col("id_number").alias("question_id"), F.size("comments").cast("bigint").alias("comments"), F.size("answers").cast("bigint").alias("answers"), F.array_join(F.transform("answers", lambda a: a["id"]), ",").alias("answer_ids"))
+    n = threads.nested_threads(_questions(spark, d), _answers(spark, d).where("parent is not null"), _comments(spark, d).where("parent is not null"), "id_number", _order(), ["id", "creation_date", "score", "owner_user_id", "title", "body"], ["id", "creation_date", "score", "user_id", "text"])
+    more = [
+        F.array_join(F.transform("comments", lambda c: F.concat_ws(":", c["id"], F.coalesce(c["user_id"], F.lit("")))), ",").alias("comment_users"),
+        F.aggregate("answers", F.lit(0).cast("bigint"), lambda n, a: n + F.coalesce(F.length(a["body"]), F.lit(0))).alias("answer_characters"), F.col("question.title").alias("title"),
+    ]
+    return n.select(*more, F.col("id_number").alias("question_id"), F.size("comments").cast("bigint").alias("comments"), F.size("answers").cast("bigint").alias("answers"), F.array_join(F.transform("answers", lambda a: a["id"]), ",").alias("answer_ids"))
 
 
-@query(
-    QA
-    + """, fc AS (SELECT parent, id, text FROM c WHERE sec IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent ORDER BY sec, frac, id_number) = 1),
-fa AS (SELECT parent, id FROM a WHERE sec IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent ORDER BY sec, frac, id_number) = 1)
-SELECT q.id AS question_id, coalesce(q.title, '') AS question_title, coalesce(fc.id, '') AS first_comment_id, coalesce(fc.text, '') AS first_comment_text, coalesce(fa.id, '') AS first_answer_id, coalesce(q.accepted_answer_id, '') AS accepted_answer_id, coalesce(x.creation_date, '') AS accepted_answer_date
-FROM q LEFT JOIN fc ON fc.parent = q.id_number LEFT JOIN fa ON fa.parent = q.id_number LEFT JOIN a x ON x.id_number = q.accepted AND x.parent = q.id_number"""
-)
+def _summary_sql() -> str:
+    sides = {"question": "q", "first_comment": "fc", "first_answer": "fa", "accepted_answer": "x"}
+    fields = ", ".join(f"coalesce({sides[record]}.{attribute}, '') AS {field}" for field, record, attribute in SUMMARY)
+    first = "SELECT * FROM {0} WHERE sec IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent ORDER BY sec, frac, id_number) = 1"
+    return QA + f", fc AS ({first.format('c')}), fa AS ({first.format('a')}) SELECT {fields} FROM q LEFT JOIN fc ON fc.parent = q.id_number LEFT JOIN fa ON fa.parent = q.id_number LEFT JOIN a x ON x.id_number = q.accepted AND x.parent = q.id_number"
+
+
+@query(_summary_sql())
 def summary_fields(spark: SparkSession, d: str) -> DataFrame:
-    return summary.summaries(table(spark, d, "posts"), table(spark, d, "comments"), ["question_id", "question_title", "first_comment_id", "first_comment_text", "first_answer_id", "accepted_answer_id", "accepted_answer_date"])
+    """All selectable fields of all questions; repeated rows count with the score of the record that is kept."""
+    posts, comments = (characteristics.records(table(spark, d, t)).drop("id_number") for t in ("posts", "comments"))
+    return summary.summaries(posts, comments, [f for f, _, _ in SUMMARY])
 
 
 @query()
@@ -649,6 +658,52 @@ def streaming_days(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(plan.schema).parquet(out).where("day < '2199-01-01'")
 
 
+# ---- sources and sinks, by writing a table and reading it back
+
+XML_COLUMNS = ["Id", "PostTypeId", "ParentId", "CreationDate", "Score", "Title", "Tags", "Body"]
+
+
+def _written_xml(spark: SparkSession, d: str) -> str:
+    out = fresh_path(spark, "xml")
+    table(spark, d, "posts").select(*[F.col(xml.snake(c)).alias(f"_{c}") for c in XML_COLUMNS]).write.format("xml").option("rowTag", "row").option("rootTag", "posts").option("attributePrefix", "_").option("valueTag", "_value_of_row").save(out)
+    return out
+
+
+@query("SELECT id, post_type_id, parent_id, creation_date, score, title, tags, body FROM posts")
+def xml_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The typed scan: absent attributes null, empty ones empty, blanks kept."""
+    return xml.read_rows(spark, _written_xml(spark, d), XML_COLUMNS)
+
+
+@query("SELECT id, CAST((id IS NOT NULL)::INT + (post_type_id IS NOT NULL)::INT + (parent_id IS NOT NULL)::INT + (creation_date IS NOT NULL)::INT + (score IS NOT NULL)::INT + (title IS NOT NULL)::INT + (tags IS NOT NULL)::INT + (body IS NOT NULL)::INT AS BIGINT) AS attributes, title, concat_ws(',', CASE WHEN id IS NOT NULL THEN 'Id' END, CASE WHEN post_type_id IS NOT NULL THEN 'PostTypeId' END, CASE WHEN parent_id IS NOT NULL THEN 'ParentId' END, CASE WHEN creation_date IS NOT NULL THEN 'CreationDate' END, CASE WHEN score IS NOT NULL THEN 'Score' END, CASE WHEN title IS NOT NULL THEN 'Title' END, CASE WHEN tags IS NOT NULL THEN 'Tags' END, CASE WHEN body IS NOT NULL THEN 'Body' END) AS names FROM posts")
+def xml_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """The lossless scan: which attributes each row has, in their order."""
+    rows = xml.read_all_attributes(spark, _written_xml(spark, d).removeprefix("file://") + "/part-*")
+    return rows.select(xml.attribute("Id").alias("id"), F.size("attrs").cast("bigint").alias("attributes"), xml.attribute("Title").alias("title"), F.array_join(F.transform("attrs", lambda a: a["name"]), ",").alias("names"))
+
+
+@query("SELECT id, coalesce(parent_id, '') AS parent_id, coalesce(creation_date, '') AS creation_date, coalesce(title, '') AS title, coalesce(tags, '') AS tags FROM posts")
+def tsv_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as TSV parts without passing the driver, and read again."""
+    out = fresh_path(spark, "tsv")
+    rows = table(spark, d, "posts").select("id", "parent_id", "creation_date", "title", "tags")
+    publish.write_tsv_distributed(rows, out)
+    back = spark.read.csv(out, sep="\t", schema=rows.schema, multiLine=True, quote='"', escape='"', emptyValue="", lineSep="\r\n")
+    return back.fillna("")
+
+
+@query("SELECT p_partkey, CASE WHEN v >= 1000 THEN format('{:,.0f}', v) WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE format('{:.1f}', v) END AS label FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN floor(p_retailprice) ELSE p_retailprice END * CASE WHEN p_partkey % 2 = 0 THEN 1000 ELSE 0.5 END AS v FROM part)")
+def number_labels(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", (F.when(F.col("p_partkey") % 3 == 0, F.floor("p_retailprice").cast("double")).otherwise(F.col("p_retailprice")) * F.when(F.col("p_partkey") % 2 == 0, 1000.0).otherwise(0.5)).alias("v"))
+    return p.select("p_partkey", number_label("v").alias("label"))
+
+
+@query("SELECT * FROM (VALUES (0, '7'), (1, '12'), (2, '300')) t(place, id)")
+def requested_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Requested ids in the order of their first occurrence, without leading zeros and repetitions."""
+    return spark.createDataFrame(list(enumerate(threads.requested(["007", " 12 ", "7", "300", "0012"]))), "place int, id string")
+
+
 # ---- references between records
 
 
