@@ -49,6 +49,30 @@ FROM thread_characteristics WHERE question_id IS NOT NULL ORDER BY question_id)
 END = "DATE '2025-03-31'"
 
 
+# ---- HTML in SQL, for markup as the tables have it
+
+ENTITIES = {"&nbsp;": "chr(160)", "&#160;": "chr(160)", "&#8203;": "chr(8203)", "&#39;": "chr(39)", "&commat;": "'@'", "&#x40;": "'@'", "&#64;": "'@'", "&quot;": "chr(34)", "&lt;": "'<'", "&gt;": "'>'", "&amp;": "'&'"}
+
+
+def _text_sql(source: str, between: str = " ") -> str:
+    out = f"regexp_replace({source}, '(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>', '{between}', 'g')"
+    for entity, character in ENTITIES.items():
+        out = f"replace({out}, '{entity}', {character})"
+    return out
+
+
+def _measures_sql(body: str) -> dict[str, str]:
+    b = f"coalesce({body}, '')"
+    inner = lambda tag: f"regexp_extract_all({b}, '(?s)<{tag}[^>]*>(.*?)(?:</{tag}>|$)', 1)"
+    prose = f"regexp_replace({b}, '(?s)<pre[^>]*>.*?(?:</pre>|$)|<code[^>]*>.*?(?:</code>|$)', ' ', 'g')"
+    runs = r"'[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}]+)*'"
+    return {
+        "visible_text": rf"trim(regexp_replace({_text_sql(b)}, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', ' ', 'g'))", "word_count": f"len(list_filter(regexp_extract_all({_text_sql(prose)}, {runs}), lambda w: NOT contains(w, '_')))",
+        "code_characters": f"CAST(coalesce(list_sum(list_transform({inner('code')}, lambda w: length({_text_sql('w', '')}))), 0) AS BIGINT)", "code_lines": f"CAST(coalesce(list_sum(list_transform({inner('pre')}, lambda w: len(list_filter(string_split({_text_sql('w', '')}, chr(10)), lambda y: trim(y) <> '')))), 0) AS BIGINT)",
+        "links": rf"len(regexp_extract_all({b}, '<a\s[^>]*href'))", "images": f"len(regexp_extract_all({b}, '<img[^a-z]'))",
+    }
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -193,11 +217,6 @@ def summary_fields(spark: SparkSession, d: str) -> DataFrame:
     return summary.summaries(posts, comments, [f for f, _, _ in SUMMARY])
 
 
-@query()
-def characteristic_table(spark: SparkSession, d: str) -> DataFrame:
-    return characteristics.build(table(spark, d, "posts"), table(spark, d, "comments"), table(spark, d, "votes"), snapshot="2025-03-31")
-
-
 HTML_COLUMNS = ("question_body_text", "question_word_count", "code_character_count", "code_line_count", "link_count", "image_count", "accepted_answer_body_text")
 COUNT = "CASE WHEN {0} >= 0 THEN {0} END"
 SIX = "CAST(format('{{:.6f}}', {0}) AS DOUBLE)"  # correctly rounded from the binary value
@@ -221,6 +240,15 @@ FROM z LEFT JOIN k ON k.parent = z.id_number LEFT JOIN f ON f.parent = z.id_numb
 )
 
 
+_HEAD, _TAIL = CHARACTERISTICS.split("\nSELECT z.site", 1)
+_OWN = dict(zip(("visible_text", "word_count", "code_characters", "code_lines", "links", "images"), HTML_COLUMNS))
+
+
+@query(_HEAD + ", r AS (SELECT z.site" + _TAIL + ") SELECT r.*, " + ", ".join(f"{c} AS {_OWN[k]}" for k, c in _measures_sql("r.question_body_html").items()) + f", CASE WHEN r.accepted_answer_available THEN {_measures_sql('x.body')['visible_text']} END AS accepted_answer_body_text FROM r LEFT JOIN a x ON CAST(x.id_number AS VARCHAR) = r.accepted_answer_id AND CAST(x.parent AS VARCHAR) = r.question_id")
+def characteristic_table(spark: SparkSession, d: str) -> DataFrame:
+    return characteristics.build(table(spark, d, "posts"), table(spark, d, "comments"), table(spark, d, "votes"), snapshot="2025-03-31")
+
+
 @query(CHARACTERISTICS)
 def characteristic_fields(spark: SparkSession, d: str) -> DataFrame:
     """All columns but those of the HTML walk."""
@@ -260,7 +288,7 @@ def data_issues(spark: SparkSession, d: str) -> DataFrame:
 # ---- scalar functions
 
 
-@query()
+@query("SELECT id, " + ", ".join(f"{c} AS {k}" for k, c in _measures_sql("body").items()) + " FROM posts")
 def html_measures_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posts").select("id", html_measures("body").alias("m")).select("id", "m.*")
 
