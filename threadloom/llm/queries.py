@@ -163,9 +163,14 @@ SELECT conv AS conversation_id, turn, CASE WHEN kind = 1 OR usr = asker THEN 'as
 P9_CHECKS = "SELECT container_name, capacity_tokens, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS split_needlessly, true AS filled_well FROM container_sizes"
 P10 = """
 WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
-h AS (SELECT doc_id, hash(substr(text, CAST(i AS INTEGER), 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
-g AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) < max(doc_id))
-SELECT DISTINCT doc_id FROM h WHERE h IN (SELECT h FROM g)
+h AS (SELECT doc_id, i, hash(substr(text, CAST(i AS INTEGER), 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
+g AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+w AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM g))
+"""
+P10_SHARES = P10 + """
+, o AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS onward, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS back FROM w),
+s AS (SELECT doc_id, CAST(sum(least(200, coalesce(onward - i, 200))) AS BIGINT) AS n, count(*) FILTER (back IS NULL OR i > back + 200) AS k FROM o GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0) AS characters, coalesce(n, 0) AS shared_characters, coalesce(round(n / length(text), 6), 0) AS shared_part, coalesce(k, 0) AS spans FROM documents LEFT JOIN s USING (doc_id)
 """
 TEXT = r"replace(replace(replace(replace(replace(replace(regexp_replace({}, '(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>', ' ', 'g'), '&nbsp;', ' '), '&commat;', '@'), '&#x40;', '@'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 WORDS = r"regexp_extract_all(regexp_replace(lower({}), '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}\x{{ad}}]', '', 'g'), '[\p{{L}}\p{{N}}]+')"
@@ -195,7 +200,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_compressed": P1_COMPRESSED,
         "p3_user_pairs": P3_USERS + SCORES,
         "p9_checks": P9_CHECKS,
-        "p10_found": P10,
+        "p10_found": P10 + "SELECT DISTINCT doc_id FROM w",
+        "p10_shares": P10_SHARES,
         "p3_found": P3 + "SELECT tag_a, tag_b FROM y WHERE n_ab >= 5 AND n_ab * n >= 4 * n_a * n_b",
         "p3_pairs": P3 + SCORES,
     }
