@@ -90,3 +90,15 @@ def test_requested():
     for bad in (["0"], ["-1"], ["x"], []):
         with pytest.raises(ValueError):
             requested(bad)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from threadloom.session import shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=SimpleNamespace(master=master, getConf=dict))
+    assert shared_folder(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session("local[4]", None)).startswith("file://")
+    with pytest.raises(ValueError):
+        shared_folder(session("local-cluster[3,2,1000]", None))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,10 +32,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of this process where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset a temporary one of this process. A cluster must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(shared_folder, "own"):
         shared_folder.own = tempfile.mkdtemp(prefix="threadloom-")
         atexit.register(shutil.rmtree, shared_folder.own, ignore_errors=True)
