@@ -72,7 +72,8 @@ def features(token: str, words: tuple[frozenset[str], frozenset[str]]) -> list[s
         kind = "common" if low in words[0] else "proper" if low in words[1] else "unknown"
         out += ["k=" + kind, f"k={kind} {s}"]
         out += [f"l={min(len(token), 9)}", "z=" + low[-3:], "y=" + low[-2:]]
-        out += ["in=" + k for k, names in _SETS.items() if low in names]
+        # a lower-case word that the vocabularies know is a word first, even if it is a name too
+        out += ["in=" + k for k, names in _SETS.items() if low in names and not (kind == "common" and token.islower())]
         if _STREET.search(low):
             out.append("street")
     elif token.isdigit():

@@ -59,7 +59,7 @@ Best regards|Best wishes|Thanks a lot|Cheers|Hi all,|Dear team,|Written in {P} {
 Monday March 3|Windows Server is {W} here.|Google Chrome and Mozilla Firefox differ.|New York has its own time zone.|Visual Studio cannot find the {w}.|The United Nations list has {n} entries.|Stack Overflow had the same question.|Apache Spark reads {f} in {n} seconds.|Machine Learning is not needed for this.|Big Data is a {W} word.|The Quick Start guide says {v}.|Silver Lake was the code name.|Both Red Hat and Open Suse are fine.
 SELECT {i}, count(*) FROM {i} WHERE {i} > {n}|for {i} in range({n}): {c}|{i} = {i}.{i}({n}, "{w}")|if {i} == {n} then return {h} end|def {i}(self, {i}={n}):|$ {v} --{w} {f} -n {n}|curl -X POST http://localhost:{n}/{i}|import {i} as {i}|return {i}[{n}] + {i}|<{i} {i}="{n}">|{i}: {i}|const {i} = await {c};
 While the {w} is {W}, {P} will {v} it.|As long as it is {W}, {P} cannot {v}.|Whenever the {w} gets {W}, {P} tries to {v} the {w}.|Unless {f} is {W}, {P} stops.|Since the {w} was {W}, {P} had nothing to {v}.|If {v} is {W}, {P} has a bug.|Because the {w} is {W}, {P} skips it.|It ended, {P} did not.|The {w} became {W}. {P} did not notice.|Now it runs on {P}. Still, the {w} is {W}.|That was {P}. This is {P}.
-El {w} {W} no responde.|Un {w} {W} puede {v} otro {w} {W}.|Cada {w} {W} ocupa {n} bytes.|Cambié el {w} {W} por uno nuevo y ahora funciona.|No conviene {v} un {w} {W} dos veces.|El marco antiguo del formulario ocupa demasiado espacio.|Un puerto externo cerrado bloquea la conexión segura.|Quitar el enlace oculto y el filtro roto ayudó bastante.|El tejido simétrico sirve para hilos paralelos.
+El {w} {W} no responde.|Un {w} {W} puede {v} otro {w} {W}.|Cada {w} {W} ocupa {n} bytes.|Cambié el {w} {W} por uno nuevo y ahora funciona.|No conviene {v} un {w} {W} dos veces.|El borde grueso del dibujo ocupa demasiado espacio.|Una tapa lateral abierta deja pasar el polvo fino.|Quitar el aviso grande y la regla vieja ayudó bastante.|El tejido simétrico sirve para hilos paralelos.
 Ich musste den {N} dreimal {v} und danach neu laden.|Der Rechner ließ sich nicht herunterfahren, obwohl keine Anwendung lief.|Ein beschädigter {N} muss vollständig ersetzt werden.|Nachdem ich alles mehrmals verschoben und umbenannt hatte, ging es.|Vorübergehend hilft auch abschalten und wieder einschalten.|Der eingebaute {N} darf niemals gleichzeitig {v}.
 What does {h} mean?|Once it is {W}, {P} starts again.|Being {W}, {P} gives up.|If it stays {W}, {P} and {P} wait.|The setting may be {W}, {W} or {W}.|In {P}, {c} is {W}.|Install {P} from {P}, not from {P}.|{P} calls {P}, {P} calls {c}.|Use a {W} {w}, {v} it, then {v} {f}.|It depends on the {w}.|Not reproducible on my side.|Works for me.|This answer is wrong since {P} {n}.|Please show the content of {f}.|I do not have a {w}.|There is no need to {v} anything.|It is {W}, that is all.|Never mind, found it.|Same here with {P} {n}.|Is it possible to {v} a {w} twice?|How can I {v} the {W} {w} without losing the {w}?|A {W} {w} can {v} up to {n} times per second, which is enough for most uses.
 When I {v} the {w}, all values become {n}.|After some hours the {W} {w} begins to {v} and memory reaches {n} MB.|We are three people and look after {n} machines with {P}.|The documentation of {c} is {W}, so I read the source in {f}.|What I want: one {w} per {w}, sorted by {i}.|What happens: the {w} is {W} and {P} prints {h}.|As a workaround, {v} the {w} every {n} minutes.|My guess is that {P} keeps the {w} open while {c} is running.|I tried {c}, {c} and {c}; none of them {v} the {w}.
